@@ -5,12 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import cutoffs, mixing, quantiles, skeleton, tokens
+from starloom.llm import cutoffs, languages, mixing, quantiles, skeleton, tokens
 from starloom.session import read_table
 
 FRACTIONS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
+def _first_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks once per id (the first delivery), with the language that `lang` names; a label form not listed names none."""
+    tasks = read_table(spark, sf_dir, "task_records").select("task_id", "created_at", "question", F.trim("lang").alias("label_form"))
+    labels = read_table(spark, sf_dir, "language_labels").groupBy("label_form").agg(F.min("language").alias("given"))
+    once = tasks.filter(F.col("task_id").isNotNull()).groupBy("task_id").agg(F.min(F.struct("created_at", "question", "label_form")).alias("t"))
+    return once.select("task_id", "t.question", "t.label_form").join(labels, "label_form", "left")
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tasks = _first_tasks(spark, sf_dir)
+    samples = languages.collect_samples(read_table(spark, sf_dir, "language_samples"), "language", "sample_text")
+    samples = languages.learn(tasks, "task_id", "question", "given", samples)
+    return tasks, languages.identify(tasks, "task_id", "question", samples).withColumnRenamed("id", "task_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of mixed-language questions, and questions in one language whose label is missing, unknown or wrong."""
+    tasks, segments = _segments(spark, sf_dir)
+    rows = segments.join(tasks.select("task_id", "given"), "task_id")
+    return rows.filter((F.col("segments") > 1) | F.col("given").isNull() | (F.col("given") != F.col("language"))).select("task_id", "segment_no", "language")
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's segments with language and confidence."""
+    return _segments(spark, sf_dir)[1].drop("segment")
+
+
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial sketches by dimension (lang, db), group and day of scoring."""
     scores = read_table(spark, sf_dir, "translation_scores").select("lang", "db", "comet_score", F.to_date("scored_at").alias("day"))
@@ -88,7 +115,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_mixed(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"), "source")
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_months, p4_bound, p5_found, p5_consistent, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p4_percentiles, p4_months, p4_bound, p5_found, p5_consistent, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report)}
 
 _SIDES = "SELECT 'lang' AS dim, lang AS grp, comet_score AS v FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score) UNION ALL SELECT 'db', db, comet_score FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score)"
 
