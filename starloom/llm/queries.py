@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import cutoffs, languages, mixing, quantiles, skeleton, tokens
+from starloom.llm import answers, cutoffs, languages, mixing, quantiles, skeleton, tokens
 from starloom.session import read_table
 
 FRACTIONS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -38,6 +38,24 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir)[1].drop("segment")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective answers with their type of defect."""
+    records = read_table(spark, sf_dir, "evaluation_records")
+    samples = languages.collect_samples(read_table(spark, sf_dir, "language_samples"), "language", "sample_text")
+    # prompts with their right label; at most 4,000 of them are fitted
+    prompts = records.filter(F.col("lang").isin(list(samples)) & F.col("question").isNotNull()).select("lang", "question").distinct().orderBy(F.xxhash64("question"), "lang").limit(4000)
+    for row in prompts.collect():
+        samples[row["lang"]].append(row["question"])
+    found = answers.judge(records, "eval_id", "question", "raw_output", "predicted_sql", "run_at", samples, read_table(spark, sf_dir, "schema_columns"))
+    return found.select(F.col("id").alias("eval_id"), "defect")
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective answers by model and defect."""
+    records = read_table(spark, sf_dir, "evaluation_records").groupBy("eval_id").agg(F.min("model").alias("model"))
+    return p3_found(spark, sf_dir).join(records, "eval_id").groupBy("model", "defect").agg(F.count("*").alias("answers"))
+
+
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial sketches by dimension (lang, db), group and day of scoring."""
     scores = read_table(spark, sf_dir, "translation_scores").select("lang", "db", "comet_score", F.to_date("scored_at").alias("day"))
@@ -115,7 +133,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_mixed(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p4_percentiles, p4_months, p4_bound, p5_found, p5_consistent, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_report, p4_percentiles, p4_months, p4_bound, p5_found, p5_consistent, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report)}
 
 _SIDES = "SELECT 'lang' AS dim, lang AS grp, comet_score AS v FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score) UNION ALL SELECT 'db', db, comet_score FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score)"
 
