@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import answers, cutoffs, languages, mixing, quantiles, skeleton, tokens
+from starloom.llm import answers, cutoffs, languages, mixing, quantiles, skeleton, tokens, truncation
 from starloom.session import read_table
 
 FRACTIONS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -133,7 +133,21 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_mixed(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_report, p4_percentiles, p4_months, p4_bound, p5_found, p5_consistent, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut off before its end."""
+    found = truncation.truncated(read_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", read_table(spark, sf_dir, "schema_columns"))
+    return found.select(F.col("id").alias("doc_id"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: documents, cut documents and their share."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    marked = documents.join(p9_found(spark, sf_dir).withColumn("cut", F.lit(1)), "doc_id", "left")
+    per = marked.groupBy("source").agg(F.count("*").alias("documents"), F.coalesce(F.sum("cut"), F.lit(0)).alias("truncated"))
+    return per.withColumn("share", F.col("truncated") / F.col("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_report, p4_percentiles, p4_months, p4_bound, p5_found, p5_consistent, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report, p9_found, p9_report)}
 
 _SIDES = "SELECT 'lang' AS dim, lang AS grp, comet_score AS v FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score) UNION ALL SELECT 'db', db, comet_score FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score)"
 
