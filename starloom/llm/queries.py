@@ -64,6 +64,12 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.sketches(rows, {"dim": F.col("side.dim"), "grp": F.col("side.grp"), "day": F.col("day")}, F.col("comet_score"))
 
 
+def p4_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles and the sketch itself per lang and per db and day: what later combinations need instead of rows."""
+    whole = quantiles.merged(_daily(spark, sf_dir), ["dim", "grp", "day"])
+    return quantiles.percentiles(whole.withColumn("kept", F.col("sketch")), FRACTIONS).withColumnRenamed("kept", "sketch")
+
+
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of the score per lang and per db, from daily sketches merged over the days."""
     return quantiles.percentiles(quantiles.merged(_daily(spark, sf_dir), ["dim", "grp"]), FRACTIONS)
@@ -147,7 +153,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("share", F.col("truncated") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_report, p4_percentiles, p4_months, p4_bound, p5_found, p5_consistent, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_report, p4_daily, p4_percentiles, p4_months, p4_bound, p5_found, p5_consistent, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report, p9_found, p9_report)}
 
 _SIDES = "SELECT 'lang' AS dim, lang AS grp, comet_score AS v FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score) UNION ALL SELECT 'db', db, comet_score FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score)"
 
