@@ -48,6 +48,6 @@ def cutoffs(df: DataFrame, source: str, score: str, targets: DataFrame, target_s
 
 def kept_rows(df: DataFrame, source: str, score: str, chosen: DataFrame) -> DataFrame:
     """The rows of `df` at or above their source's cutoff (`chosen` is the result of `cutoffs`)."""
-    limits = chosen.select(F.col("source").alias("_source"), F.col("cutoff").alias("_cutoff"))
+    limits = broadcast_if_small(chosen.filter(F.col("cutoff").isNotNull()).select(F.col("source").alias("_source"), F.col("cutoff").alias("_cutoff")))
     value = F.col(score).cast("double")
     return df.join(limits, (F.col(source) == F.col("_source")) & ~F.isnan(value) & (value >= F.col("_cutoff"))).drop("_source", "_cutoff")

@@ -107,6 +107,13 @@ def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.withColumn("changed", ~F.col("question").eqNullSafe(F.col("consistent")))
 
 
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored rows at or above their lang's cutoff, ties included."""
+    scores = read_table(spark, sf_dir, "translation_scores")
+    chosen = cutoffs.cutoffs(scores, "lang", "comet_score", read_table(spark, sf_dir, "keep_targets"), "lang", "target_fraction")
+    return cutoffs.kept_rows(scores, "lang", "comet_score", chosen)
+
+
 def p6_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score cutoff, kept rows and actual fraction per lang of keep_targets."""
     out = cutoffs.cutoffs(read_table(spark, sf_dir, "translation_scores"), "lang", "comet_score", read_table(spark, sf_dir, "keep_targets"), "lang", "target_fraction")
@@ -153,7 +160,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("share", F.col("truncated") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_report, p4_daily, p4_percentiles, p4_months, p4_bound, p5_found, p5_consistent, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_report, p4_daily, p4_percentiles, p4_months, p4_bound, p5_found, p5_consistent, p6_kept, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report, p9_found, p9_report)}
 
 _SIDES = "SELECT 'lang' AS dim, lang AS grp, comet_score AS v FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score) UNION ALL SELECT 'db', db, comet_score FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score)"
 
@@ -166,5 +173,9 @@ c AS (SELECT lang, max(n) AS n, max(CASE WHEN rn = least(n, CAST(ceil(f * n - 1e
 SELECT t.lang, t.f AS target_fraction, coalesce(c.n, 0) AS scored, c.cutoff,
  (SELECT count(*) FROM s WHERE s.lang = t.lang AND s.v >= c.cutoff) AS kept,
  CASE WHEN c.n > 0 THEN (SELECT count(*) FROM s WHERE s.lang = t.lang AND s.v >= c.cutoff) / c.n END AS actual_fraction FROM t LEFT JOIN c ON t.lang = c.lang""",
+    "p6_kept": """WITH s AS (SELECT x.*, t.f, row_number() OVER (PARTITION BY x.lang ORDER BY x.comet_score DESC) AS rn, count(*) OVER (PARTITION BY x.lang) AS n
+ FROM translation_scores x JOIN (SELECT lang, max(target_fraction) AS f FROM keep_targets WHERE lang IS NOT NULL GROUP BY lang) t ON x.lang = t.lang WHERE x.comet_score IS NOT NULL AND NOT isnan(x.comet_score)),
+c AS (SELECT lang, max(CASE WHEN rn = least(n, CAST(ceil(f * n - 1e-9) AS BIGINT)) THEN comet_score END) AS cutoff FROM s GROUP BY lang)
+SELECT s.db, s.lang, s.pair_id, s.comet_score, s.src, s.mt, s.scored_at FROM s JOIN c ON s.lang = c.lang AND s.comet_score >= c.cutoff""",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
