@@ -75,7 +75,7 @@ def split(wide: DataFrame, spec: StarSpec, strict_reference: bool = False) -> di
         numbered = dense_numbers(first, ["_first"], "_id")
         key = F.when(is_valid(F.col("_row._natural")), F.col("_row._natural")).otherwise(F.col("_id").cast("string"))
         table = numbered.withColumn(t.key, key)
-        out[t.name] = table.select(t.key, *[f"_row.{f.column}" for f in t.foreign_keys], *[F.col(f"_row.{c.target}") for c in t.columns], *([] if strict_reference else [F.col(f"_row.{c.target}") for c in t.derived_columns]))
+        out[t.name] = table.select(t.key, *[f"_row.{f.column}" for f in t.foreign_keys], *[F.col(f"_row.{c.target}") for c in t.columns if c.target != t.key], *([] if strict_reference else [F.col(f"_row.{c.target}") for c in t.derived_columns]))
         ids = broadcast_if_small(table.select("_key", F.col(t.key).alias(f"_k_{t.name}")))
         rows = keyed.drop(f"_k_{t.name}").join(ids, "_key", "left").drop("_key")
     for t in spec.facts:
@@ -102,7 +102,7 @@ def rejoin(tables: dict[str, DataFrame], spec: StarSpec, fact: str) -> DataFrame
     out = tables[fact]
     for f in t.foreign_keys:
         d = dims[f.references]
-        out = out.join(tables[d.name].select(F.col(d.key).alias("_rk"), *[c.target for c in d.columns]), F.col(f.column) == F.col("_rk"), "left").drop("_rk")
+        out = out.join(tables[d.name].select(F.col(d.key).alias("_rk"), *[c.target for c in d.columns if c.target != d.key]), F.col(f.column) == F.col("_rk"), "left").drop("_rk")
     return out
 
 

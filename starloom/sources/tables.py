@@ -16,9 +16,9 @@ from starloom.dialect import strip_comment_lines
 from starloom.functions.transforms import path_parts
 from starloom.model import SchemaInfo, StarSpec, TableInfo
 
-TASK = T.StructType.fromDDL("question string, sql string, gold_sql string, pair_id string, original_question_id string, schema_used array<string>, linked_schema map<string,array<string>>, skeleton_id string, difficulty string, similarity_score double")
-EVALUATION = T.StructType.fromDDL("pair_id string, question string, gold_sql string, sql string, predicted_sql string, raw_output string, em int, ex int, error string")
-SCORES = T.StructType.fromDDL("db string, lang string, pair_id string, comet_score double, src string, mt string")
+TASK = ("question string, sql string, gold_sql string, pair_id string, original_question_id string, schema_used array<string>, linked_schema map<string,array<string>>, skeleton_id string, difficulty string, similarity_score double")
+EVALUATION = ("pair_id string, question string, gold_sql string, sql string, predicted_sql string, raw_output string, em int, ex int, error string")
+SCORES = ("db string, lang string, pair_id string, comet_score double, src string, mt string")
 
 
 def wide_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -62,7 +62,7 @@ def star_config(path: str) -> StarSpec:
         return StarSpec.from_config(yaml.safe_load(file) or {})
 
 
-def tasks(spark: SparkSession, path: str, schema: T.StructType = TASK) -> DataFrame:
+def tasks(spark: SparkSession, path: str, schema: str = TASK) -> DataFrame:
     """JSON lines, or one JSON list; `sql` is the gold statement wherever `gold_sql` is missing."""
     one_list = path.endswith(".json")
     df = spark.read.schema(schema).json(path, multiLine=one_list)
