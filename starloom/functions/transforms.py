@@ -14,13 +14,18 @@ from pyspark.sql import types as T
 MISSING = ("", "null", "na", "n/a", "none", "-")
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends, line breaks and tabs included."""
+    return F.btrim(c, F.lit(" \t\n\r\f\v"))
+
+
 def text_of(c: Column) -> Column:
     """The cell as text, null as ''."""
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
 def is_valid(c: Column) -> Column:
-    return ~F.lower(F.trim(text_of(c))).isin(*MISSING)
+    return ~F.lower(strip(text_of(c))).isin(*MISSING)
 
 
 def complete(columns: list[Column]) -> Column:
@@ -30,7 +35,7 @@ def complete(columns: list[Column]) -> Column:
 
 def any_given(columns: list[Column]) -> Column:
     """At least one of the columns is neither null nor blank."""
-    return reduce(lambda a, b: a | b, (F.trim(text_of(c)) != "" for c in columns), F.lit(False))
+    return reduce(lambda a, b: a | b, (strip(text_of(c)) != "" for c in columns), F.lit(False))
 
 
 def extract_year(c: Column) -> Column:
@@ -41,11 +46,11 @@ def extract_year(c: Column) -> Column:
 def extract_year_19_20(c: Column) -> Column:
     """A year of the 20th or 21st century as a word of its own, else the trimmed text."""
     found = F.regexp_extract(text_of(c), r"\b((?:19|20)\d{2})\b", 1)
-    return F.when(found != "", found).otherwise(F.trim(text_of(c)))
+    return F.when(found != "", found).otherwise(strip(text_of(c)))
 
 
 def to_number(c: Column) -> Column:
-    t = F.trim(text_of(c))
+    t = strip(text_of(c))
     readable = t.rlike(r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+)?$|^[+-]?(nan|inf|infinity)$")
     return F.when(readable, F.regexp_replace(t, "_", "").try_cast("double"))
 
@@ -79,7 +84,7 @@ def clean_numeric(c: Column) -> Column:
 
 def clean_amount(c: Column) -> Column:
     """Amounts: commas out, two places, no trailing zeros or point; '' if invalid."""
-    plain = F.regexp_replace(F.trim(text_of(c)), ",", "")
+    plain = F.regexp_replace(strip(text_of(c)), ",", "")
     rounded = F.round(to_number(plain), 2).cast("decimal(38,2)").cast("string")
     short = F.regexp_replace(F.regexp_replace(rounded, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.when(is_valid(c) & to_number(plain).isNotNull() & ~F.isnan(to_number(plain)), short).otherwise("")
@@ -87,9 +92,9 @@ def clean_amount(c: Column) -> Column:
 
 TRANSFORMS: dict[str, Callable[[Column], Column]] = {
     "extract_year": extract_year,
-    "uppercase": lambda c: F.trim(F.upper(text_of(c))),
-    "lowercase": lambda c: F.trim(F.lower(text_of(c))),
-    "strip": lambda c: F.trim(text_of(c)),
+    "uppercase": lambda c: strip(F.upper(text_of(c))),
+    "lowercase": lambda c: strip(F.lower(text_of(c))),
+    "strip": lambda c: strip(text_of(c)),
     "to_int": to_int,
     "to_float": to_float,
     "clean_numeric": clean_numeric,
@@ -101,13 +106,13 @@ def register_transform(name: str, build: Callable[[Column], Column]) -> None:
 
 
 def transformed(c: Column, name: str | None) -> Column:
-    return F.trim(text_of(c)) if not name else TRANSFORMS[name](F.trim(text_of(c)))
+    return strip(text_of(c)) if not name else TRANSFORMS[name](strip(text_of(c)))
 
 
 def by_ordinal(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
     """Columns by position, trimmed and renamed; positions beyond the row give ''."""
     renamed = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    return renamed.select(*[(F.trim(text_of(F.col(f"_c{i}"))) if i < len(df.columns) else F.lit("")).alias(target) for i, target in columns])
+    return renamed.select(*[(strip(text_of(F.col(f"_c{i}"))) if i < len(df.columns) else F.lit("")).alias(target) for i, target in columns])
 
 
 def lookup(c: Column, values: Mapping[str, str], default: str | None = None) -> Column:
@@ -137,11 +142,11 @@ def century_month(cmc: Column) -> dict[str, Column]:
 
 def composite_key(columns: list[Column]) -> Column:
     """Trimmed parts with '|' between them. A struct of the parts keeps a '|' inside a part apart; see `struct_key`."""
-    return F.concat_ws("|", *[F.trim(text_of(c)) for c in columns])
+    return F.concat_ws("|", *[strip(text_of(c)) for c in columns])
 
 
 def struct_key(columns: list[Column]) -> Column:
-    return F.struct(*[F.trim(text_of(c)).alias(f"k{i}") for i, c in enumerate(columns)])
+    return F.struct(*[strip(text_of(c)).alias(f"k{i}") for i, c in enumerate(columns)])
 
 
 def ascii_tokens(c: Column) -> Column:
@@ -165,7 +170,7 @@ def bigrams(words: Column) -> Column:
 def extract_sql(c: Column) -> Column:
     """The statement of an answer: without fences and an `SQL:` label."""
     bare = F.regexp_replace(text_of(c), r"(?i)```(?:sql)?", "")
-    return F.trim(F.regexp_replace(F.trim(bare), r"(?i)^sql\s*:\s*", ""))
+    return strip(F.regexp_replace(strip(bare), r"(?i)^sql\s*:\s*", ""))
 
 
 def label_of(c: Column) -> Column:
@@ -197,7 +202,7 @@ def short_text(c: Column, most: int = 100) -> Column:
 
 def cell_text(c: Column) -> Column:
     """str(v).strip(); null stays null."""
-    return F.trim(c.cast("string"))
+    return strip(c.cast("string"))
 
 
 def balanced(c: Column) -> Column:

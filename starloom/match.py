@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.dialect import to_spark, tokens
+from starloom.functions.transforms import cell_text
 
 _CLAUSES = frozenset("select from where group having order limit offset union intersect except on join inner left right full cross natural using fetch window qualify".split())
 _NOT_ALIAS = _CLAUSES | {"as", "and", "or", "set", "values", "when", "then", "else", "end", "asc", "desc", "outer", "lateral"}
@@ -258,7 +259,7 @@ def ordered(gold_sql: str) -> bool:
 
 
 def _cells(df: DataFrame, text: bool) -> DataFrame:
-    cells = [F.trim(F.col(f"c{i}").cast("string")) if text else F.col(f"c{i}") for i in range(len(df.columns))]
+    cells = [cell_text(F.col(f"c{i}")) if text else F.col(f"c{i}") for i in range(len(df.columns))]
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions.sizes import broadcast_if_small
-from starloom.functions.transforms import complete, is_valid, struct_key, text_of, transformed
+from starloom.functions.transforms import complete, is_valid, strip, struct_key, text_of, transformed
 from starloom.lineage import cut
 from starloom.model import StarSpec, TableSpec
 
@@ -109,7 +109,7 @@ def rejoin(tables: dict[str, DataFrame], spec: StarSpec, fact: str) -> DataFrame
 def unpivot(df: DataFrame, ids: list[str], measures: list[str], name: str, value: str) -> DataFrame:
     """One row for each measure that isn't null or blank."""
     long = df.unpivot(ids, measures, name, value)
-    return long.filter(F.trim(text_of(F.col(value))) != "")
+    return long.filter(strip(text_of(F.col(value))) != "")
 
 
 def hierarchy(df: DataFrame, key: str, parent: str, most: int = 20) -> DataFrame:

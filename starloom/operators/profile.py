@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.functions.sizes import broadcast_if_small
-from starloom.functions.transforms import text_of, to_number
+from starloom.functions.transforms import strip, text_of, to_number
 
 #: Name patterns (substrings) and VARCHAR sizes.
 FLAGS = ("is_", "has_", "flag", "_flag")
@@ -57,8 +57,8 @@ def column_facts(df: DataFrame) -> dict[str, ColumnFacts]:
     """What the rules need, for all columns in one aggregate; the date test looks at every given value."""
     aggs = []
     for i, c in enumerate(df.columns):
-        t = F.trim(text_of(F.col(f"`{c}`")))
-        n, given = to_number(t), F.trim(text_of(F.col(f"`{c}`"))) != ""
+        t = strip(text_of(F.col(f"`{c}`")))
+        n, given = to_number(t), strip(text_of(F.col(f"`{c}`"))) != ""
         usable = n.isNotNull() & ~F.isnan(n)
         aggs += [
             F.sum(given.cast("long")).alias(f"g{i}"), F.coalesce(F.min(F.when(given, usable)), F.lit(True)).alias(f"n{i}"), F.coalesce(F.max(F.when(given, t.contains("."))), F.lit(False)).alias(f"p{i}"),
