@@ -128,24 +128,42 @@ class Model:
 
 
 def _words(df: DataFrame, text: str) -> DataFrame:
+    """(`word`, `n`, `bare`): occurrences, and those of them with which a text breaks off or ends without any mark."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+        counts, bare = Counter(), Counter()
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(w, n, bare[w]) for w, n in counts.items()], columns=["word", "n", "bare"])
+
         for frame in frames:
             for t in frame["t"]:
-                counts.update(words_of(t))
+                found = pieces(LOOKED_THROUGH.sub("", t))
+                counts.update(p for p in found if WORD.match(p))
+                if found and WORD.match(found[-1]):
+                    bare[found[-1]] += 1
             if len(counts) > 200_000:
-                yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
-                counts = Counter()
-        yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
+                yield out()
+                counts, bare = Counter(), Counter()
+        yield out()
 
-    return df.select(F.col(text).alias("t")).filter("t is not null").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = df.select(F.col(text).alias("t")).filter("t is not null").mapInPandas(run, "word string, n bigint, bare bigint")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"))
 
 
 def known_words(df: DataFrame, text: str, share: float = WORD_SHARE, least: int = 5) -> list[str]:
-    """Words that make up at least `share` of all words and occur `least` times: 1 / share words at most."""
+    """Words that make up at least `share` of all words and occur `least` times: 1 / share words at most.
+
+    A word that mostly stands bare at the end of texts and is the beginning of a more frequent word is a fragment that many cuts left.
+    """
     counts = cut(_words(df, text))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r.word for r in counts.filter(F.col("n") >= max(least, share * total)).select("word").collect()]
+    rows = counts.filter(F.col("n") >= max(least, share * total)).collect()
+    most: dict[str, int] = {}
+    for r in rows:
+        for i in range(1, len(r.word)):
+            most[r.word[:i]] = max(most.get(r.word[:i], 0), r.n)
+    return [r.word for r in rows if not (2 * r.bare > r.n and most.get(r.word, 0) > r.n)]
 
 
 def score(df: DataFrame, id_col: str, text: str, language: str, schema: DataFrame | None = None) -> DataFrame:
