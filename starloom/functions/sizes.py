@@ -9,3 +9,18 @@ from pyspark.sql import functions as F
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows (counted, never more than rows + 1 of them), else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def in_parts(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as the cluster has cores: a small file, read in one piece, is dealt out; a large table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` hashed by `keys` into a fixed number of partitions, for Python work after an aggregation by these keys.
+
+    Adaptive execution would merge them by their bytes, of which heavy Python work has few; the aggregation needs no shuffle of its own.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)

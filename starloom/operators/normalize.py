@@ -61,7 +61,7 @@ def split(wide: DataFrame, spec: StarSpec, strict_reference: bool = False) -> di
 
     `strict_reference` leaves a dimension's derived columns out, as computed but unwritten; by default they are written.
     """
-    rows = clean_rows(wide, spec)
+    rows = cut(clean_rows(wide, spec))  # one scan feeds all tables
     out: dict[str, DataFrame] = {}
     for t in spec.dimensions:
         rows, parents = _attach_parents(rows, t)
@@ -72,7 +72,7 @@ def split(wide: DataFrame, spec: StarSpec, strict_reference: bool = False) -> di
         refs = [F.col(parents[f.column]).alias(f.column) for f in t.foreign_keys]
         natural = transformed(F.col(f"_c{t.key_source_index}"), t.key_transform) if t.key_source_index is not None else F.lit(None).cast("string")
         first = keyed.groupBy("_key").agg(F.min("_pos").alias("_first"), F.min_by(F.struct(natural.alias("_natural"), *refs, *cells), "_pos").alias("_row"))
-        numbered = dense_numbers(first, ["_first"], "_id")
+        numbered = cut(dense_numbers(first, ["_first"], "_id"))
         key = F.when(is_valid(F.col("_row._natural")), F.col("_row._natural")).otherwise(F.col("_id").cast("string"))
         table = numbered.withColumn(t.key, key)
         out[t.name] = table.select(t.key, *[f"_row.{f.column}" for f in t.foreign_keys], *[F.col(f"_row.{c.target}") for c in t.columns if c.target != t.key], *([] if strict_reference else [F.col(f"_row.{c.target}") for c in t.derived_columns]))
