@@ -18,22 +18,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.functions.sizes import in_parts
 from starloom.lineage import cut
 from starloom.llm.sqltext import START, _begins, read, split_answer
 
-try:
-    from xxhash import xxh64_intdigest
-except ImportError:  # slower, with other values; a run uses one of them throughout
-    import hashlib
-
-    def xxh64_intdigest(text: str) -> int:
-        return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
-
-
 #: Letters with their marks; the dandas between the Indic blocks are punctuation, their digits are digits.
 LETTERS = "A-Za-zÀ-ɏʰ-ͯͰ-Ͽ҃-ԯऀ-ॣ॰-৥ৰ-੥ੰ-૥૰-୥୰-௥௰-౥౰-೥೰-൥൰-෿"
 PIECE = re.compile(rf"[{LETTERS}]+|\d[\d,]*|\s+|.", re.S)
@@ -56,12 +49,58 @@ def words_of(text: str) -> list[str]:
     return [p for p in pieces(text) if WORD.match(p)]
 
 
+class Rolling:
+    """64-bit hashes of all substrings that end at given places, from prefix sums of character * base ** place (modulo 2 ** 64; an odd base has an inverse)."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.up) <= n:
+            for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
+                factors = np.full(2 * n + 1, base, dtype=np.uint64)
+                factors[0] = 1
+                setattr(self, name, np.multiply.accumulate(factors))
+
+    def ending_at(self, text: str, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Hash of text[max(0, i - n) : i] for every i of `at` and n of `lengths`."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+        self.grow(len(codes))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * self.up[: len(codes)], dtype=np.uint64)])
+        start = np.maximum(0, at[:, None] - lengths[None, :])
+        h = (sums[at][:, None] - sums[start]) * self.down[start]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+class Tally:
+    """Counts of contexts, gathered as arrays and added up when there are many."""
+
+    def __init__(self, most: int = 1 << 20) -> None:
+        self.most, self.waiting, self.size = most, {"ends": [], "goes_on": []}, 0
+
+    def add(self, kind: str, contexts: np.ndarray) -> None:
+        self.waiting[kind].append(contexts.ravel())
+        self.size += contexts.size
+
+    def counts(self) -> pd.DataFrame:
+        parts = []
+        for kind, arrays in self.waiting.items():
+            keys, n = np.unique(np.concatenate(arrays) if arrays else np.empty(0, np.int64), return_counts=True)
+            parts.append(pd.DataFrame({"context": keys, kind: n}))
+        self.waiting, self.size = {"ends": [], "goes_on": []}, 0
+        return parts[0].merge(parts[1], on="context", how="outer").fillna(0).astype("int64")
+
+
 class Model:
     """Masking and final contexts, given the known words and the names of a schema."""
 
     def __init__(self, known: frozenset[str], columns: frozenset[str], tables: frozenset[str]) -> None:
         self.known, self.columns, self.tables = known, columns, tables
         self.beginnings = {w[:i] for w in known for i in range(1, len(w))}
+        self.rolling, self.lengths = Rolling(), np.array(LENGTHS)
 
     def mask(self, text: str) -> list[str]:
         out = []
@@ -109,22 +148,17 @@ class Model:
         mark = stop[0][0] if stop else ""
         return {"pieces": self.mask(inner), "stop": mark, "fragment": unknown and not mark and (last[0].islower() or last in self.beginnings), "counts": bool(mark) or not unknown}
 
-    @staticmethod
-    def contexts(masked: str, at: int) -> list[int]:
-        return [xxh64_intdigest(masked[max(0, at - n) : at]) - (1 << 63) for n in LENGTHS]
-
-    def count(self, text: str | None, ends: Counter, goes_on: Counter) -> None:
-        seen = self.view(text)
-        if not seen:
-            return
-        masked, at = "".join(seen["pieces"]), 0
-        stops = [at := at + len(p) for p in seen["pieces"]]
-        for p, stop in zip(seen["pieces"], stops):
-            if not p.isspace():
-                if stop < len(masked):
-                    goes_on.update(self.contexts(masked, stop))
-                elif seen["counts"]:
-                    ends.update(self.contexts(masked, stop))
+    def count(self, seen: dict, tally: Tally) -> np.ndarray:
+        """Adds a text's contexts to the tally; returns those of its end."""
+        masked = "".join(seen["pieces"])
+        at = np.cumsum([len(p) for p in seen["pieces"]])
+        at = at[[not p.isspace() for p in seen["pieces"]]]
+        contexts = self.rolling.ending_at(masked, at, self.lengths)
+        last = at == len(masked)
+        tally.add("goes_on", contexts[~last])
+        if seen["counts"]:
+            tally.add("ends", contexts[last])
+        return contexts[-1] if last.any() else self.rolling.ending_at(masked, np.array([len(masked)]), self.lengths)[0]
 
 
 def _words(df: DataFrame, text: str) -> DataFrame:
@@ -147,7 +181,7 @@ def _words(df: DataFrame, text: str) -> DataFrame:
                 counts, bare = Counter(), Counter()
         yield out()
 
-    rows = df.select(F.col(text).alias("t")).filter("t is not null").mapInPandas(run, "word string, n bigint, bare bigint")
+    rows = in_parts(df.select(F.col(text).alias("t"))).filter("t is not null").mapInPandas(run, "word string, n bigint, bare bigint")
     return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"))
 
 
@@ -174,37 +208,31 @@ def score(df: DataFrame, id_col: str, text: str, language: str, schema: DataFram
         raise ValueError("more than 200,000 schema columns")
     shared = spark.sparkContext.broadcast((frozenset(known_words(df, text)), frozenset(r.c for r in names if r.c), frozenset(r.t for r in names if r.t)))
 
-    def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(*shared.value)
-        ends, goes_on = Counter(), Counter()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Two kinds of rows from one masking of each text: counts of contexts (no `contexts`), and each text's end."""
+        model, tally = Model(*shared.value), Tally()
+        names = ["id", "language", "stop", "fragment", "own", "contexts", "context", "ends", "goes_on"]
 
-        def out() -> pd.DataFrame:
-            keys = list(ends.keys() | goes_on.keys())
-            return pd.DataFrame({"context": keys, "ends": [ends[k] for k in keys], "goes_on": [goes_on[k] for k in keys]}).astype("int64")
+        def tallies() -> pd.DataFrame:
+            counts = tally.counts()
+            nothing = pd.Series([None] * len(counts), dtype=object)
+            return pd.DataFrame({n: counts[n] if n in counts else nothing for n in names})
 
-        for frame in frames:
-            for t in frame["t"]:
-                model.count(t, ends, goes_on)
-            if len(goes_on) > 500_000:
-                yield out()
-                ends, goes_on = Counter(), Counter()
-        yield out()
-
-    def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(*shared.value)
         for frame in frames:
             rows = []
             for key, lang, t in zip(frame["id"], frame["language"], frame["t"]):
-                seen = model.view(t)
-                if seen:
-                    masked = "".join(seen["pieces"])
-                    rows.append((key, lang, seen["stop"], bool(seen["fragment"]), int(seen["counts"]), Model.contexts(masked, len(masked))))
-            yield pd.DataFrame(rows, columns=["id", "language", "stop", "fragment", "own", "contexts"])
-
-    texts = df.select(F.col(id_col).alias("id"), F.col(language).cast("string").alias("language"), F.col(text).alias("t")).filter("t is not null")
+                if seen := model.view(t):
+                    rows.append((key, lang, seen["stop"], bool(seen["fragment"]), int(seen["counts"]), model.count(seen, tally), None, None, None))
+            yield pd.DataFrame(rows, columns=names)
+            if tally.size > tally.most:  # as many contexts as 8 MB hold
+                yield tallies()
+        yield tallies()
+
+    texts = in_parts(df).select(F.col(id_col).alias("id"), F.col(language).cast("string").alias("language"), F.col(text).alias("t")).filter("t is not null")
     kind = texts.schema["id"].dataType.simpleString()
-    counts = texts.select("t").mapInPandas(tally, "context bigint, ends bigint, goes_on bigint").groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
-    finals = texts.mapInPandas(last, f"id {kind}, language string, stop string, fragment boolean, own int, contexts array<bigint>")
+    both = cut(texts.mapInPandas(run, f"id {kind}, language string, stop string, fragment boolean, own int, contexts array<bigint>, context bigint, ends bigint, goes_on bigint"))
+    counts = both.filter("context is not null").groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    finals = both.filter("contexts is not null")
     keyed = finals.select("id", "language", "stop", "fragment", "own", F.posexplode("contexts").alias("place", "context"))
     # a text's own end says nothing about it
     found = keyed.join(counts, "context", "left").select("id", "language", "stop", "fragment", "place", (F.greatest(F.coalesce("ends", F.lit(0)) - F.col("own"), F.lit(0))).alias("e"), F.coalesce("goes_on", F.lit(0)).alias("c"))

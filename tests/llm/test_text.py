@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -169,21 +170,21 @@ def test_truncation_on_planted_cuts(spark):
 def test_context_counts_against_brute_force():
     docs, _ = corpus(30)
     known = frozenset(w for w, n in Counter(w for _, t, *_ in docs for w in truncation.words_of(t)).items() if n >= 3)
-    model = truncation.Model(known, frozenset(), frozenset())
-    ends, goes_on = Counter(), Counter()
-    for _, t, *_ in docs:
-        model.count(t, ends, goes_on)
-    plain_ends, plain_on = Counter(), Counter()
-    for _, t, *_ in docs:
+    model, tally = truncation.Model(known, frozenset(), frozenset()), truncation.Tally()
+    ends, goes_on, last = Counter(), Counter(), {}
+    whole = lambda s: int(model.rolling.ending_at(s, np.array([len(s)]), np.array([len(s)]))[0, 0])
+    for i, t, *_ in docs:
         v = model.view(t)
+        last[i] = list(model.count(v, tally))
         text, at = "".join(v["pieces"]), 0
         for p in v["pieces"]:
             at += len(p)
             if not p.isspace():
                 for n in truncation.LENGTHS:
-                    key = truncation.xxh64_intdigest(text[max(0, at - n) : at]) - (1 << 63)
                     if at < len(text):
-                        plain_on[key] += 1
+                        goes_on[whole(text[max(0, at - n) : at])] += 1
                     elif v["counts"]:
-                        plain_ends[key] += 1
-    assert (ends, goes_on) == (plain_ends, plain_on)
+                        ends[whole(text[max(0, at - n) : at])] += 1
+        assert last[i] == [whole(text[max(0, len(text) - n) :]) for n in truncation.LENGTHS]
+    got = tally.counts()
+    assert {r.context: (r.ends, r.goes_on) for r in got.itertuples()} == {k: (ends[k], goes_on[k]) for k in ends | goes_on}
