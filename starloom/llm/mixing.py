@@ -99,6 +99,7 @@ def mix(sized: DataFrame, id_col: str, tokens_col: str, levels: list[str], targe
     names = {x: F.coalesce(F.col(x), F.lit("")) for x in levels}
     rows = sized.filter(F.col(weighted).isNotNull() & (F.col(tokens_col) > 0)).select(F.col(id_col).alias("id"), *[c.alias(x) for x, c in names.items()], F.col(tokens_col).cast("long").alias("tokens"))
     rows = rows.join(broadcast_if_small(spark.createDataFrame([(w,) for w in weights] or [("",)], f"{weighted} string")), weighted, "left_semi")
+    rows = cut(rows)  # ids, levels and sizes only: counting tokens again would cost more than writing them
     totals = rows.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     leaves = [r.asDict() for r in totals.limit(max_leaves + 1).collect()]
     if len(leaves) > max_leaves:
