@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.functions.sizes import broadcast_if_small
+from starloom.functions.sizes import broadcast_if_small, by_key
 from starloom.lineage import cut
 from starloom.llm.automata import SuffixAutomaton, covered
 from starloom.llm.languages import Languages, plain
@@ -167,7 +167,7 @@ def judge(df: DataFrame, id_col: str, question: str, raw: str, predicted: str, r
     if len(names) > 200_000:
         raise ValueError("more than 200,000 schema columns")
     shared = spark.sparkContext.broadcast((samples, sorted({r.c for r in names if r.c}), sorted({r.t for r in names if r.t})))
-    rows = df.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.struct(F.col(run).alias("_t"), F.col(question).alias("q"), F.col(raw).alias("r"), F.col(predicted).alias("p"))).alias("x")).select("id", "x.q", "x.r", "x.p")
+    rows = by_key(df.filter(F.col(id_col).isNotNull()), id_col).groupBy(F.col(id_col).alias("id")).agg(F.min(F.struct(F.col(run).alias("_t"), F.col(question).alias("q"), F.col(raw).alias("r"), F.col(predicted).alias("p"))).alias("x")).select("id", "x.q", "x.r", "x.p")
     kind = rows.schema["id"].dataType.simpleString()
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.functions.sizes import by_key
+from starloom.functions.transforms import strip
 from starloom.llm import answers, cutoffs, languages, mixing, quantiles, skeleton, tokens, truncation
+from starloom.llm.sqltext import split_answer
 from starloom.session import read_table
 
 FRACTIONS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -13,9 +16,9 @@ FRACTIONS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 def _first_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks once per id (the first delivery), with the language that `lang` names; a label form not listed names none."""
-    tasks = read_table(spark, sf_dir, "task_records").select("task_id", "created_at", "question", F.trim("lang").alias("label_form"))
+    tasks = read_table(spark, sf_dir, "task_records").select("task_id", "created_at", "question", strip(F.col("lang")).alias("label_form"))
     labels = read_table(spark, sf_dir, "language_labels").groupBy("label_form").agg(F.min("language").alias("given"))
-    once = tasks.filter(F.col("task_id").isNotNull()).groupBy("task_id").agg(F.min(F.struct("created_at", "question", "label_form")).alias("t"))
+    once = by_key(tasks.filter(F.col("task_id").isNotNull()), "task_id").groupBy("task_id").agg(F.min(F.struct("created_at", "question", "label_form")).alias("t"))
     return once.select("task_id", "t.question", "t.label_form").join(labels, "label_form", "left")
 
 
@@ -46,6 +49,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = records.filter(F.col("lang").isin(list(samples)) & F.col("question").isNotNull()).select("lang", "question").distinct().orderBy(F.xxhash64("question"), "lang").limit(4000)
     for row in prompts.collect():
         samples[row["lang"]].append(row["question"])
+    # and prose of at most 4,000 answers, mostly in their prompt's language, so that votes know its words
+    length = F.length(F.coalesce("predicted_sql", F.lit("")))
+    spoken = records.filter(F.col("lang").isin(list(samples)) & (length > 20) & (F.length("raw_output") >= length + 30)).select("lang", "raw_output").distinct().orderBy(F.xxhash64("raw_output"), "lang").limit(4000)
+    for row in spoken.collect():
+        if prose := split_answer(row["raw_output"])[1]:
+            samples[row["lang"]].append(prose)
     found = answers.judge(records, "eval_id", "question", "raw_output", "predicted_sql", "run_at", samples, read_table(spark, sf_dir, "schema_columns"))
     return found.select(F.col("id").alias("eval_id"), "defect")
 
