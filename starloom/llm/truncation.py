@@ -1,7 +1,8 @@
 """Texts cut off before their end: a backward character n-gram model of where texts end.
 
 Texts are masked: numbers become 0, words that make up less than `word_share` of all words become X, statements at the end become their
-masked tokens. For every word end in the corpus the characters before it, at seven lengths, are counted as followed by the end of the
+masked tokens. For every word end in the corpus, and for every
+place inside a word where a shorter word would end, the characters before it, at seven lengths, are counted as followed by the end of the
 text or by more text. A value's final context is looked up from the longest length down to one with enough support; its log-odds of
 ending against going on, thresholded per language and column, tell whole texts from cut ones. An exact check follows: a last word that
 is only the beginning of a known word, or a statement that is open by its own delimiters, is cut; a text that ends in a full stop is cut
@@ -34,6 +35,8 @@ WORD = re.compile(rf"[{LETTERS}]")
 LOOKED_THROUGH = re.compile(r"(?:\s|…|\.\.\.|�|```|;)+\Z")
 CLOSING = re.compile(r"[\s.?!।॥\"'”’)\]]+\Z")
 STOP = re.compile(r"[?!।॥.][\"'”’)\]\s]*\Z")
+#: Stands before every text, so that a context which reaches back to the start is no other text's middle.
+START_OF_TEXT = "\x02"
 LENGTHS = (48, 36, 24, 16, 10, 6, 4)
 #: Place in LENGTHS of the context by which texts ending in a full stop are judged: short, so that abbreviations have full support.
 AFTER_STOP = 4
@@ -100,6 +103,8 @@ class Model:
     def __init__(self, known: frozenset[str], columns: frozenset[str], tables: frozenset[str]) -> None:
         self.known, self.columns, self.tables = known, columns, tables
         self.beginnings = {w[:i] for w in known for i in range(1, len(w))}
+        # places inside known words where another known word ends: a text cut there goes on inside the word
+        self.inside = {w: at for w in known if (at := [i for i in range(1, len(w)) if w[:i] in known])}
         self.rolling, self.lengths = Rolling(), np.array(LENGTHS)
 
     def mask(self, text: str) -> list[str]:
@@ -138,7 +143,7 @@ class Model:
             s = read(LOOKED_THROUGH.sub("", found[1]) if not found[1].rstrip().endswith(")") else found[1], frozenset(), frozenset())
             s = read(" ".join(s.tokens), self.columns, self.tables) if self.columns else s
             tokens = [x for t in s.skeleton for x in (" ", t)]
-            return {"pieces": [*self.mask(found[0]), "\n", *tokens], "stop": "", "fragment": s.broken, "counts": not s.broken}
+            return {"pieces": [START_OF_TEXT, *self.mask(found[0]), "\n", *tokens], "stop": "", "fragment": s.broken, "counts": not s.broken}
         stop = STOP.search(body)
         inner = CLOSING.sub("", body)
         last = next(iter(pieces(inner)[-1:]), "")
@@ -146,16 +151,20 @@ class Model:
             return None
         unknown = bool(WORD.match(last)) and last not in self.known
         mark = stop[0][0] if stop else ""
-        return {"pieces": self.mask(inner), "stop": mark, "fragment": unknown and not mark and (last[0].islower() or last in self.beginnings), "counts": bool(mark) or not unknown}
+        return {"pieces": [START_OF_TEXT, *self.mask(inner)], "stop": mark, "fragment": unknown and not mark and (last[0].islower() or last in self.beginnings), "counts": bool(mark) or not unknown}
 
     def count(self, seen: dict, tally: Tally) -> np.ndarray:
         """Adds a text's contexts to the tally; returns those of its end."""
-        masked = "".join(seen["pieces"])
-        at = np.cumsum([len(p) for p in seen["pieces"]])
-        at = at[[not p.isspace() for p in seen["pieces"]]]
+        pieces_ = seen["pieces"]
+        masked = "".join(pieces_)
+        after = np.cumsum([len(p) for p in pieces_])
+        at = after[[not p.isspace() and p is not START_OF_TEXT for p in pieces_]]
+        inner = [end - len(p) + i for p, end in zip(pieces_, after) if p in self.inside for i in self.inside[p]]
         contexts = self.rolling.ending_at(masked, at, self.lengths)
         last = at == len(masked)
         tally.add("goes_on", contexts[~last])
+        if inner:
+            tally.add("goes_on", self.rolling.ending_at(masked, np.array(inner), self.lengths))
         if seen["counts"]:
             tally.add("ends", contexts[last])
         return contexts[-1] if last.any() else self.rolling.ending_at(masked, np.array([len(masked)]), self.lengths)[0]
@@ -244,11 +253,12 @@ def score(df: DataFrame, id_col: str, text: str, language: str, schema: DataFram
     return best.select("id", "language", "stop", "fragment", F.when(F.col("b.rank") >= 0, F.get(lengths, F.col("b.place"))).otherwise(0).alias("length"), (F.col("b.rank") > 50).alias("full"), F.col("b.e").alias("ends"), F.col("b.c").alias("goes_on"), F.when(F.col("b.rank") >= 0, F.log((F.col("b.e") + 0.5) / (F.col("b.c") + 1))).alias("log_odds"))
 
 
-def truncated(df: DataFrame, id_col: str, text: str, language: str, schema: DataFrame | None = None, margin: float = 0.6, least: float = -3.6, sparse: float = -2.3) -> DataFrame:
+def truncated(df: DataFrame, id_col: str, text: str, language: str, schema: DataFrame | None = None, margin: float = 0.6, least: float = -3.6, sparse: float = -2.3, after_abbreviation: float = -4.0) -> DataFrame:
     """(`id`, `log_odds`) of the cut texts.
 
     A language's threshold is the lowest percentile of the log-odds of its texts that end in a sentence mark other than the full stop
     or in a full stop, less `margin`, but between -5 and `least`; contexts without full support need `sparse`.
+    A text that ends in a full stop is cut below `after_abbreviation`.
     """
     scored = cut(score(df, id_col, text, language, schema))
     whole = scored.filter((F.col("stop") != "") & F.col("full"))
@@ -256,6 +266,6 @@ def truncated(df: DataFrame, id_col: str, text: str, language: str, schema: Data
     rows = scored.join(limits.withColumnRenamed("language", "_l"), F.col("language").eqNullSafe(F.col("_l")), "left").withColumn("limit", F.coalesce("limit", F.lit(least)))
     odds = F.col("log_odds")
     bare = F.col("fragment") | odds.isNull() | F.when(F.col("full"), odds < F.greatest(F.col("limit"), F.lit(least))).otherwise((odds < sparse) | (F.col("ends") == 0))
-    after_stop = F.col("full") & (odds < F.least(F.col("limit"), F.lit(-4.4)))
+    after_stop = F.col("full") & (odds < F.lit(after_abbreviation))
     is_cut = F.when(F.col("stop") == "", bare).when(F.col("stop") == ".", after_stop).otherwise(False)
     return rows.filter(is_cut).select("id", "log_odds")

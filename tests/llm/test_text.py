@@ -178,8 +178,11 @@ def test_context_counts_against_brute_force():
         last[i] = list(model.count(v, tally))
         text, at = "".join(v["pieces"]), 0
         for p in v["pieces"]:
+            for j in model.inside.get(p, ()):
+                for n in truncation.LENGTHS:
+                    goes_on[whole(text[max(0, at + j - n) : at + j])] += 1
             at += len(p)
-            if not p.isspace():
+            if not p.isspace() and p != truncation.START_OF_TEXT:
                 for n in truncation.LENGTHS:
                     if at < len(text):
                         goes_on[whole(text[max(0, at - n) : at])] += 1
