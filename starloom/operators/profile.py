@@ -15,7 +15,14 @@ from starloom.functions.transforms import strip, text_of, to_number
 
 #: Name patterns (substrings) and VARCHAR sizes.
 FLAGS = ("is_", "has_", "flag", "_flag")
-MONEY = ("amount", "price", "cost", "revenue", "expenditure", "salary", "income", "budget", "value_rs", "lakhs", "crores")
+MONEY = (
+    "amount", "balance", "fund", "expenditure", "disbursement", "outlay",
+    "surplus", "deficit", "loan", "debt", "repayment", "discharge",
+    "deposit", "advance", "remittance", "investment", "reserve",
+    "provident", "contingency", "suspense", "lakhs", "crores", "rupees",
+    "inr", "revenue", "capital", "services", "development", "settlement",
+)
+NUMERIC_KINDS = ("INTEGER", "REAL", "NUMERIC", "FLOAT", "INT", "BIGINT", "SMALLINT")
 DECIMAL_WORDS = ("total", "sum", "count", "amount", "value", "number")
 SIZES = (10, 20, 30, 50, 100, 200, 255, 500, 1000)
 
@@ -144,9 +151,9 @@ def prompt_values(df: DataFrame, kinds: dict[str, str], most: int = 6, distinct_
         if low.endswith(("id", "email", "url")):
             continue
         values = [r[0] for r in frequent_values(df, c, max(most, distinct_limit + 1)).select("value").collect()]
-        if kinds.get(c, "") in ("INTEGER", "BIGINT", "SMALLINT", "NUMERIC") and len(values) > distinct_limit:
+        if kinds.get(c, "").upper() in NUMERIC_KINDS and len(values) > distinct_limit:
             continue
-        if any(isinstance(v, str) and (len(v) > 50 or "@" in v or v.lower().startswith(("http", "www."))) for v in values):
+        if any(isinstance(v, str) and (len(v.strip()) > 50 or "@" in v and "." in v or "http://" in v or "https://" in v) for v in values):
             continue
         out[c] = values[:most]
     return out

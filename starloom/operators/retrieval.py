@@ -12,8 +12,25 @@ from starloom.functions.transforms import ascii_tokens, bigrams, unicode_tokens,
 from starloom.operators.profile import sequence_ratio
 
 #: Words that carry no topic, and words of the survey domain.
-STOP_WORDS = ("the", "a", "an", "of", "in", "on", "for", "to", "and", "or", "is", "are", "was", "were", "what", "which", "how", "many", "by", "with", "from", "that", "this", "all", "show", "list", "find")
-DOMAIN_WORDS = ("population", "state", "district", "year", "count", "total", "average", "rate", "workers", "literacy", "household", "school", "water", "village", "urban", "rural", "male", "female")
+STOP_WORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been",
+    "being", "have", "has", "had", "do", "does", "did", "will",
+    "would", "could", "should", "may", "might", "must", "shall",
+    "can", "of", "to", "in", "for", "on", "with", "at", "by",
+    "from", "as", "into", "through", "during", "before", "after",
+    "above", "below", "between", "under", "again", "further",
+    "then", "once", "here", "there", "when", "where", "why",
+    "how", "all", "each", "few", "more", "most", "other", "some",
+    "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "just", "and", "but", "if", "or",
+    "because", "until", "while", "what", "which", "who",
+    "this", "that", "these", "those", "it", "its",
+)
+DOMAIN_WORDS = (
+    "village", "district", "state", "population", "distance",
+    "accessibility", "service", "road", "transport", "health",
+    "education", "financial", "market", "civic", "rural",
+)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -29,18 +46,19 @@ def lexical(a: str, b: str, strict_reference: bool = False) -> Column:
 
 
 def weighted_lexical(a: Column, b: Column, strict_reference: bool = False) -> Column:
-    """0.4 Jaccard of content words + 0.35 overlap of domain words + 0.25 overlap of bigrams.
+    """0.4 Jaccard of content words + 0.35 overlap of domain words + 0.25 overlap of bigrams; 0 if either text has no content word.
 
     Strictly, two equal texts without a domain word score 0.65; otherwise the domain part is shared out where neither text has such words.
     """
     wa, wb = word_list(a), word_list(b)
     stop, domain = F.array(*map(F.lit, STOP_WORDS)), F.array(*map(F.lit, DOMAIN_WORDS))
     ca, cb = F.array_except(wa, stop), F.array_except(wb, stop)
-    da, db = F.array_intersect(wa, domain), F.array_intersect(wb, domain)
+    da, db = F.array_intersect(ca, domain), F.array_intersect(cb, domain)
     has = F.size(F.array_union(da, db)) > 0
     words, grams = jaccard(ca, cb), jaccard(bigrams(wa), bigrams(wb))
     full = 0.4 * words + 0.35 * jaccard(da, db) + 0.25 * grams
-    return full if strict_reference else F.when(has, full).otherwise((0.4 * words + 0.25 * grams) / 0.65)
+    score = full if strict_reference else F.when(has, full).otherwise((0.4 * words + 0.25 * grams) / 0.65)
+    return F.when((F.size(ca) > 0) & (F.size(cb) > 0), score).otherwise(0.0)
 
 
 def cosine(a: Column, b: Column) -> Column:
