@@ -160,11 +160,13 @@ def unicode_tokens(c: Column) -> Column:
 
 
 def word_list(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text_of(c)), F.lit(r"\b\w+\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text_of(c)), F.lit(r"(?U)\b\w+\b"), F.lit(0))
 
 
 def bigrams(words: Column) -> Column:
-    return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    # zipping two slices reads `words` a few times; indexing inside a lambda would work it out again for every element
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def extract_sql(c: Column) -> Column:

@@ -139,13 +139,16 @@ def near_duplicates(df: DataFrame, block: str, id_col: str, text: str, other: st
     own = weighted_lexical(F.col("t"), F.col("t"), strict_reference)
     other_own = weighted_lexical(F.col("o"), F.col("o"), strict_reference)
     copies = base.join(reps.filter((own > threshold) & (other_own > threshold)), ["b", "t", "o"]).filter("id <> rep").select("id")
-    grams = reps.withColumn("g", F.explode(F.array_distinct(bigrams(word_list(F.col("t"))))))
+    texts = reps.select("rep", "t", "o")
+    grams = reps.select("b", "rep", F.array_distinct(bigrams(word_list(F.col("t")))).alias("gs")).select("b", "rep", F.size("gs").alias("m"), F.explode("gs").alias("g"))
     rare = Window.partitionBy("b", "rep").orderBy("df", "g")
     counts = grams.groupBy("b", "g").agg(F.count("*").alias("df"))
-    # a pair above the threshold shares most bigrams, so it shares one of the rarest few (prefix filter)
-    prefix = grams.join(counts, ["b", "g"]).withColumn("r", F.row_number().over(rare)).withColumn("m", F.size(F.array_distinct(bigrams(word_list(F.col("t"))))))
-    prefix = prefix.filter(F.col("r") <= F.col("m") - F.ceil(F.col("m") * 0.8) + 1).select("b", "g", "rep", "t", "o")
-    right = prefix.select("b", "g", F.col("rep").alias("rep2"), F.col("t").alias("t2"), F.col("o").alias("o2"))
-    close = prefix.join(right, ["b", "g"]).filter("rep < rep2").dropDuplicates(["rep", "rep2"])
-    close = close.filter((weighted_lexical(F.col("t"), F.col("t2"), strict_reference) > threshold) & (weighted_lexical(F.col("o"), F.col("o2"), strict_reference) > threshold))
+    # a pair above the threshold shares four fifths of its bigrams, so it shares one of the rarest few (prefix filter), and sizes are near
+    prefix = grams.join(counts.filter("df > 1"), ["b", "g"], "left").withColumn("r", F.row_number().over(rare))
+    prefix = prefix.filter((F.col("r") <= F.col("m") - F.ceil(F.col("m") * 0.8) + 1) & F.col("df").isNotNull()).select("b", "g", "rep", "m")
+    right = prefix.select("b", "g", F.col("rep").alias("rep2"), F.col("m").alias("m2"))
+    near = (F.col("rep") < F.col("rep2")) & (F.least("m", "m2") >= 0.8 * F.greatest("m", "m2"))
+    pairs = prefix.join(right, ["b", "g"]).filter(near).select("rep", "rep2").distinct()
+    close = pairs.join(texts, "rep").join(texts.select(F.col("rep").alias("rep2"), F.col("t").alias("t2"), F.col("o").alias("o2")), "rep2")
+    close = close.filter(weighted_lexical(F.col("o"), F.col("o2"), strict_reference) > threshold).filter(weighted_lexical(F.col("t"), F.col("t2"), strict_reference) > threshold)
     return copies.unionByName(close.select(F.col("rep2").alias("id"))).distinct()
