@@ -253,19 +253,20 @@ def score(df: DataFrame, id_col: str, text: str, language: str, schema: DataFram
     return best.select("id", "language", "stop", "fragment", F.when(F.col("b.rank") >= 0, F.get(lengths, F.col("b.place"))).otherwise(0).alias("length"), (F.col("b.rank") > 50).alias("full"), F.col("b.e").alias("ends"), F.col("b.c").alias("goes_on"), F.when(F.col("b.rank") >= 0, F.log((F.col("b.e") + 0.5) / (F.col("b.c") + 1))).alias("log_odds"))
 
 
-def truncated(df: DataFrame, id_col: str, text: str, language: str, schema: DataFrame | None = None, margin: float = 0.6, least: float = -3.6, sparse: float = -2.3, after_abbreviation: float = -4.0) -> DataFrame:
+def truncated(df: DataFrame, id_col: str, text: str, language: str, schema: DataFrame | None = None, below_median: float = 1.2, least: float = -3.6, sparse: float = -2.3, after_abbreviation: float = -4.0) -> DataFrame:
     """(`id`, `log_odds`) of the cut texts.
 
-    A language's threshold is the lowest percentile of the log-odds of its texts that end in a sentence mark other than the full stop
-    or in a full stop, less `margin`, but between -5 and `least`; contexts without full support need `sparse`.
-    A text that ends in a full stop is cut below `after_abbreviation`.
+    A language's threshold is the median of the log-odds of its texts that end in a sentence mark, less `below_median`, but between -5 and
+    `least`; contexts without full support need `sparse`. Texts without a mark are left out of it, as cut ones are among them; a low
+    percentile would be set by abbreviations before the full stop and by rare ends.
+    A text that ends in a full stop is cut below its language's threshold and `after_abbreviation`.
     """
     scored = cut(score(df, id_col, text, language, schema))
     whole = scored.filter((F.col("stop") != "") & F.col("full"))
-    limits = whole.groupBy("language").agg(F.greatest(F.lit(-5.0), F.least(F.lit(least), F.percentile_approx("log_odds", 0.02, 1000) - margin)).alias("limit"))
+    limits = whole.groupBy("language").agg(F.greatest(F.lit(-5.0), F.least(F.lit(least), F.percentile_approx("log_odds", 0.5, 1000) - below_median)).alias("limit"))
     rows = scored.join(limits.withColumnRenamed("language", "_l"), F.col("language").eqNullSafe(F.col("_l")), "left").withColumn("limit", F.coalesce("limit", F.lit(least)))
     odds = F.col("log_odds")
-    bare = F.col("fragment") | odds.isNull() | F.when(F.col("full"), odds < F.greatest(F.col("limit"), F.lit(least))).otherwise((odds < sparse) | (F.col("ends") == 0))
-    after_stop = F.col("full") & (odds < F.lit(after_abbreviation))
+    bare = F.col("fragment") | odds.isNull() | F.when(F.col("full"), odds < F.col("limit")).otherwise((odds < sparse) | (F.col("ends") == 0))
+    after_stop = F.col("full") & (odds < F.least(F.col("limit"), F.lit(after_abbreviation)))
     is_cut = F.when(F.col("stop") == "", bare).when(F.col("stop") == ".", after_stop).otherwise(False)
     return rows.filter(is_cut).select("id", "log_odds")

@@ -167,6 +167,14 @@ def test_truncation_on_planted_cuts(spark):
     assert truncation.truncated(spark.createDataFrame([], "doc_id long, text string, lang string"), "doc_id", "text", "lang").count() == 0
 
 
+def test_thresholds_are_the_languages_own(spark, monkeypatch):
+    """Ends of language A have lower odds, so its threshold is -4.5; a few low ends in B don't move its own."""
+    rows = [(i, lang, mark, False, True, 9, odds) for lang, usual, low, first in (("A", -3.3, -3.3, 0), ("B", -2.0, -6.0, 1000)) for i, mark, odds in [*((first + i, "?", low if i < 10 else usual) for i in range(100)), (first + 500, "", -4.2), (first + 501, "", -4.6), (first + 502, ".", -4.2), (first + 503, ".", -4.6)]]
+    scored = spark.createDataFrame(rows, "id long, language string, stop string, fragment boolean, full boolean, ends long, log_odds double")
+    monkeypatch.setattr(truncation, "score", lambda *_: scored)
+    assert sorted(r.id for r in truncation.truncated(scored, "id", "stop", "language").collect()) == [501, 503, 1500, 1501, 1502, 1503]
+
+
 def test_context_counts_against_brute_force():
     docs, _ = corpus(30)
     known = frozenset(w for w, n in Counter(w for _, t, *_ in docs for w in truncation.words_of(t)).items() if n >= 3)
