@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions.sizes import broadcast_if_small
 from starloom.functions.transforms import ascii_tokens, bigrams, unicode_tokens, word_list
+from starloom.lineage import cut
 from starloom.operators.profile import sequence_ratio
 
 #: Words that carry no topic, and words of the survey domain.
@@ -128,8 +130,23 @@ def greedy_duplicates(pairs: list[tuple], similar, threshold: float = 0.95) -> l
     return kept
 
 
+def greedily_dropped(edges: DataFrame) -> DataFrame:
+    """(`id`) of the nodes that a greedy pass in id order drops; `edges` (`rep`, `rep2`) lead from lower to higher ids.
+
+    In each round the nodes without an undecided lower neighbour are kept and their neighbours dropped. Every round decides the lowest
+    undecided id at least; the number of rounds is that of the longest chain of decisions.
+    """
+    edges, out = cut(edges), []
+    while not edges.isEmpty():
+        kept = edges.select("rep").distinct().join(edges.select(F.col("rep2").alias("rep")), "rep", "left_anti")
+        dropped = cut(edges.join(kept, "rep").select(F.col("rep2").alias("id")).distinct())
+        out.append(dropped)
+        edges = cut(edges.join(dropped, F.col("rep") == F.col("id"), "left_anti").join(dropped, F.col("rep2") == F.col("id"), "left_anti"))
+    return reduce(DataFrame.unionByName, out) if out else edges.select(F.col("rep2").alias("id"))
+
+
 def near_duplicates(df: DataFrame, block: str, id_col: str, text: str, other: str, threshold: float = 0.95, strict_reference: bool = False) -> DataFrame:
-    """Ids of later pairs whose text and other text are both near those of an earlier pair of the block.
+    """Ids of the pairs whose text and other text are both near those of an earlier kept pair of the block, in id order.
 
     Candidates share a word bigram of the text and of the other, or are equal; each is scored with the weighted lexical similarity.
     """
@@ -151,4 +168,4 @@ def near_duplicates(df: DataFrame, block: str, id_col: str, text: str, other: st
     pairs = prefix.join(right, ["b", "g"]).filter(near).select("rep", "rep2").distinct()
     close = pairs.join(texts, "rep").join(texts.select(F.col("rep").alias("rep2"), F.col("t").alias("t2"), F.col("o").alias("o2")), "rep2")
     close = close.filter(weighted_lexical(F.col("o"), F.col("o2"), strict_reference) > threshold).filter(weighted_lexical(F.col("t"), F.col("t2"), strict_reference) > threshold)
-    return copies.unionByName(close.select(F.col("rep2").alias("id"))).distinct()
+    return copies.unionByName(greedily_dropped(close.select("rep", "rep2"))).distinct()

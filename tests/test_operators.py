@@ -137,6 +137,17 @@ def test_retrieval(spark):
     assert retrieval.schema_values("wells in 'Goa'", [("t", "wells"), ("t", "x")], 1) == [("t", "wells", "Goa")]
 
 
+def test_near_duplicates_of_dropped_pairs_stay(spark):
+    """Texts of 60 words, each shifted by one word, are near their two neighbours only."""
+    text = lambda at: " ".join(f"w{i}" for i in range(at, at + 60))
+    near = lambda a, b: float(abs(a[1] - b[1]) <= 1)
+    for order in ([0, 1, 2], [4, 1, 0, 3, 2, 7, 6, 5, 8]):
+        pairs = list(enumerate(order))
+        dropped = sorted((i,) for i, _ in set(pairs) - set(retrieval.greedy_duplicates(pairs, near)))
+        t = spark.createDataFrame([(i, "d", text(at), "select 1 from t") for i, at in pairs], "id int, db string, q string, s string")
+        assert rows(retrieval.near_duplicates(t, "db", "id", "q", "s")) == dropped
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "w.csv").write_text('a,b,b\n1,"x, ""y""",\n2,"two\nlines"\n')
     w = tables.wide_csv(spark, str(tmp_path / "w.csv"))
