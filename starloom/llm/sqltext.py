@@ -34,15 +34,15 @@ def split_answer(text: str) -> tuple[str | None, str]:
         return None, LABEL.sub("", text).strip()
     before, rest = text[: at.start()], text[at.end() :]
     lines, out, after = rest.split("\n"), [], ""
+    seen = _Lines(rest)
     for i, line in enumerate(lines):
         word = re.match(r"\s*(\w+|.)", line)
-        if i and word and word[1].lower() not in CONTINUES and word[1] not in "),(" and not _open(out):
+        if i and word and word[1].lower() not in CONTINUES and word[1] not in "),(" and not _open(seen, lines[i - 1]):
             after = "\n".join(lines[i:])
             break
-        end = _terminator("\n".join([*out, line]))
+        end = seen.add(line)
         if end is not None:
-            whole = "\n".join([*out, line])
-            out, after = [whole[:end]], whole[end + 1 :] + "\n" + "\n".join(lines[i + 1 :])
+            out, after = [rest[:end]], rest[end + 1 : seen.end] + "\n" + "\n".join(lines[i + 1 :])
             break
         out.append(line)
     return "\n".join(out).strip(), LABEL.sub("", before + "\n" + after).strip()
@@ -53,19 +53,35 @@ def _begins(rest: str) -> bool:
     return rest[:6].lower() == "select" or bool(re.match(r"with\s+(?:recursive\s+)?\w+\s*(?:\Z|\(|as?\b)", rest, re.I))
 
 
-def _open(lines: list[str]) -> bool:
-    """Whether the lines so far end inside parentheses."""
-    marks = [t for t in TOKEN.findall("\n".join(lines)) if t in "()" and t]
-    return marks.count("(") > marks.count(")") and len(lines) < 200 and not re.search(r"[.।?!]\s*\Z", lines[-1])
+class _Lines:
+    """The first lines of a text, read on line by line: `end`, and `depth`, the parentheses open there by the tokens up to there.
 
+    A quote that no later one closes yet is a token of its own; only a line with a quote can change that, so only then is the text read again, from there.
+    """
 
-def _terminator(text: str) -> int | None:
-    at = 0
-    for t in TOKEN.findall(text):
-        if t == ";":
-            return at
-        at += len(t)
-    return None
+    def __init__(self, text: str) -> None:
+        self.text, self.end, self.depth = text, -1, 0
+        self.lone: tuple[int, int] | None = None  # place of the first quote that isn't closed, and the depth there
+
+    def add(self, line: str) -> int | None:
+        """The place of the first semicolon, if there is one up to the end of `line`."""
+        at = max(self.end, 0)
+        self.end += 1 + len(line)
+        if self.lone and ("'" in line or '"' in line):
+            (at, self.depth), self.lone = self.lone, None
+        for m in TOKEN.finditer(self.text, at, self.end):
+            t = m[0]
+            if t == ";":
+                return m.start()
+            if t in "'\"" and not self.lone:
+                self.lone = m.start(), self.depth
+            self.depth += (t == "(") - (t == ")")
+        return None
+
+
+def _open(seen: _Lines, last: str) -> bool:
+    """Whether the lines so far, which end in `last`, end inside parentheses."""
+    return seen.depth > 0 and not re.search(r"[.।?!]\s*\Z", last)
 
 
 @dataclass

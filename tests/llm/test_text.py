@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from starloom.llm import answers, languages, skeleton, truncation
+from starloom.llm import answers, languages, skeleton, sqltext, truncation
 from starloom.llm.automata import SuffixAutomaton, covered
 from starloom.llm.sqltext import read, split_answer
 
@@ -121,6 +121,25 @@ def test_split_answer():
     assert split_answer("With regard to this, no.")[0] is None
 
 
+def test_statements_of_many_lines():
+    listed = "SELECT wells FROM fact_wells WHERE wells IN (\n" + ",\n".join(map(str, range(1000))) + "\n)"
+    assert split_answer(f"Here it is.\n{listed};\nDone well.") == (listed, "Here it is.\n\n\nDone well.")
+    assert not read(split_answer(listed)[0], COLUMNS, TABLES).broken
+
+
+@given(st.lists(st.text("(');\"-a .", max_size=6), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_lines_read_on_as_if_read_whole(lines):
+    seen, so_far = sqltext._Lines("\n".join(lines)), []
+    for line in lines:
+        so_far.append(line)
+        tokens, end = sqltext.TOKEN.findall("\n".join(so_far)), seen.add(line)
+        assert end == (sum(map(len, tokens[: tokens.index(";")])) if ";" in tokens else None)
+        if end is not None:
+            break
+        assert seen.depth == tokens.count("(") - tokens.count(")")
+
+
 def test_defects(spark, data, samples):
     q, ok = "How many wells are in the district of Goa?", "SELECT COUNT(*) FROM fact_wells WHERE wells < 5"
     cases = [
