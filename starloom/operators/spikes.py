@@ -47,6 +47,19 @@ def median(col: Column, accuracy: int) -> Column:
     return (F.percentile_approx(col, 0.5, accuracy) - F.percentile_approx(-col, 0.5, accuracy)) / 2
 
 
+def exact_medians(rows: DataFrame, source: str, value: str, out: str) -> DataFrame:
+    """(`source`, `n`, `out`): rows and mean of the lower and upper median, from counts per source and value and prefix sums over range partitions."""
+    counts = rows.groupBy(source, F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
+    ranged = cut(counts.repartitionByRange(source, "_x").sortWithinPartitions(source, "_x").withColumn("_part", F.spark_partition_id()))
+    per = ranged.groupBy("_part", source).agg(F.sum("_c").alias("_here"))  # one row a partition and source
+    before = Window.partitionBy(source).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = per.select("_part", source, F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"), F.sum("_here").over(Window.partitionBy(source)).alias("n"))
+    inside = Window.partitionBy("_part", source).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    upto = ranged.withColumn("_in", F.sum("_c").over(inside)).join(placed, ["_part", source]).withColumn("_upto", F.col("_before") + F.col("_in"))
+    middle = [F.min(F.when(2 * F.col("_upto") >= F.col("n") + more, F.col("_x"))) for more in (0, 1)]
+    return upto.groupBy(source).agg(F.first("n").alias("n"), ((middle[0] + middle[1]) / 2).alias(out))
+
+
 def readings(df: DataFrame, spec: SpikeSpec) -> DataFrame:
     """One row per id: `_id`, `_src`, `_o0..`, `_v`; first delivery wins; null readings are left out."""
     order = [F.col(c).cast("long").alias(f"_o{i}") for i, c in enumerate(spec.order)]
@@ -95,9 +108,10 @@ def phase_space_spikes(df: DataFrame, spec: SpikeSpec = SpikeSpec(), chunks: Dat
     chunks = laid_out(df, spec) if chunks is None else chunks
     # zero stands on no log scale: it takes the tiny floor, far below any source's level
     base = chunks.filter(~_impossible(spec)).withColumn("u0", F.log10(F.greatest(F.col("_v"), F.lit(1e-9))))
-    level = base.filter("_own").groupBy("_src").agg(F.count("*").alias("n"), median(F.col("u0"), spec.accuracy).alias("level"))
-    usual = level.filter(F.col("n") >= spec.least_readings)
-    scatter = base.filter("_own").join(usual, "_src").groupBy("_src").agg((MAD_SCALE * median(F.abs(F.col("u0") - F.col("level")), spec.accuracy)).alias("scatter"))
+    level = exact_medians(base.filter("_own"), "_src", "u0", "level")
+    usual = cut(level.filter(F.col("n") >= spec.least_readings))
+    away = base.filter("_own").join(usual, "_src").withColumn("away", F.abs(F.col("u0") - F.col("level")))
+    scatter = exact_medians(away, "_src", "away", "scatter").select("_src", (MAD_SCALE * F.col("scatter")).alias("scatter"))
     stats = usual.join(scatter, "_src")
     current = cut(base.join(stats, "_src").select("_id", "_src", "_chunk", "_pos", "_own", "u0", "n", "level", "scatter", F.lit(False).alias("spike")))
     w = Window.partitionBy("_src", "_chunk").orderBy("_pos")

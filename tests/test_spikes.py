@@ -5,7 +5,7 @@ import random
 import statistics
 from dataclasses import replace
 
-from starloom.operators.spikes import SpikeSpec, implausible
+from starloom.operators.spikes import SpikeSpec, exact_medians, implausible, phase_space_spikes
 
 SHAPE = "fact_coliforms_id long, station_id long, year int, sample_seq int, max_fecal_coliform_mpn_per_100ml double, loaded_at string, _v double, u string, n int"
 
@@ -68,6 +68,22 @@ def test_agrees_with_plain_version_over_chunk_borders(spark):
     assert {k for _, k in plain(readings, spec)} == {"impossible", "spike", "stuck"}
 
 
+def test_level_and_scatter_are_exact_in_sources_of_any_size(spark):
+    """Sketches of accuracy 10 stand for sources far above the size below which sketches are exact."""
+    rows = [(i, i % 3, round(random.Random(i).gauss(3, 1), 6)) for i in range(1501)]
+    got_ = exact_medians(spark.createDataFrame(rows, "i long, s int, x double").repartition(5), "s", "x", "m").collect()
+    assert sorted(map(tuple, got_)) == [(s, len(v), statistics.median(v)) for s in range(3) for v in [[x for _, k, x in rows if k == s]]]
+    readings = series(3)
+    assert {(r["_src"], r.level) for r in phase_space_spikes(spark.createDataFrame(readings, SHAPE), replace(SpikeSpec(), accuracy=10)).select("_src", "level").distinct().collect()} <= {(str(s), m) for s in range(6) for m in [level_of(readings, s)]}
+
+
+def level_of(readings, s):
+    first = {}
+    for r in sorted(readings, key=lambda r: r[5]):
+        first.setdefault(r[0], r)
+    return statistics.median(math.log10(max(r[4], 1e-9)) for r in first.values() if r[1] == s and r[4] is not None and math.isfinite(r[4]) and 0 <= r[4] <= 1e12)
+
+
 def test_odd_inputs(spark):
     spec = SpikeSpec()
     assert got(spark, [], spec) == set()
