@@ -112,15 +112,24 @@ def unpivot(df: DataFrame, ids: list[str], measures: list[str], name: str, value
     return long.filter(strip(text_of(F.col(value))) != "")
 
 
-def hierarchy(df: DataFrame, key: str, parent: str, most: int = 20) -> DataFrame:
-    """(`key`, `root`, `level`) of a self-referencing table; a dangling parent starts a tree of its own. Levels deeper than `most` raise no row."""
+def hierarchy(df: DataFrame, key: str, parent: str, often: int = 20) -> DataFrame:
+    """(`key`, `root`, `level`) of a self-referencing table of any depth; a dangling parent starts a tree of its own.
+
+    Every `often` levels the last one is checkpointed. Nodes on a cycle, and below one, hang on no root and raise no row; a cycle that a
+    repeated key hangs on a root is an error.
+    """
     nodes = df.select(F.col(key).alias("k"), F.col(parent).alias("p"))
     keys = nodes.select(F.col("k").alias("pk"))
     level = nodes.join(keys, F.col("p") == F.col("pk"), "left").filter(F.col("pk").isNull()).select("k", F.col("k").alias("root"), F.lit(1).alias("level"))
-    found = [level]
-    for depth in range(2, most + 1):
+    found, depth = [level], 1
+    while True:
+        depth += 1
         level = nodes.join(level.select(F.col("k").alias("up"), "root"), F.col("p") == F.col("up")).select("k", "root", F.lit(depth).alias("level"))
+        if depth % often == 0:
+            level = cut(level)
         if level.isEmpty():
             break
+        if depth % often == 0 and depth > keys.distinct().count():
+            raise ValueError("a cycle below a root")
         found.append(level)
     return reduce(DataFrame.unionByName, found).select(F.col("k").alias(key), "root", "level")

@@ -79,6 +79,14 @@ def test_hierarchy_and_unpivot(spark):
     assert rows(normalize.unpivot(u, ["i"], ["a", "b"], "m", "v")) == [(1, "a", "5"), (2, "b", "6")]
 
 
+def test_hierarchy_of_any_depth(spark):
+    """A chain of 25 levels under one root, and a cycle with a node below it."""
+    h = spark.createDataFrame([(1, None), *((i, i - 1) for i in range(2, 26)), (50, 51), (51, 50), (52, 51)], "k int, p int")
+    assert sorted(map(tuple, normalize.hierarchy(h, "k", "p").collect())) == [(i, 1, i) for i in range(1, 26)]
+    with pytest.raises(ValueError):
+        normalize.hierarchy(spark.createDataFrame([(1, None), (1, 2), (2, 1)], "k int, p int"), "k", "p", often=3)
+
+
 TYPES = {
     "X_ID": (["a"], "BIGINT"), "THIS_ONE": (["a"], "SMALLINT"), "BIRTH_YEAR": (["Calendar 2001"], "INTEGER"), "AMOUNT": (["5"], "DOUBLE PRECISION"), "B": (["0", "1"], "SMALLINT"), "Y": (["1950", "2011"], "INTEGER"),
     "TOTAL_N": (["5", "7000"], "DOUBLE PRECISION"), "N": (["5", "7000"], "BIGINT"), "F": (["1.5"], "DOUBLE PRECISION"), "NEG": (["-1", "0"], "BIGINT"), "E": (["1e5"], "BIGINT"), "NANS": (["nan"], "VARCHAR(20)"),
