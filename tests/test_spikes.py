@@ -5,7 +5,9 @@ import random
 import statistics
 from dataclasses import replace
 
-from starloom.operators.spikes import SpikeSpec, exact_medians, implausible, phase_space_spikes
+import numpy as np
+
+from starloom.operators.spikes import SpikeSpec, exact_medians, implausible, phase_space, readings, usual
 
 SHAPE = "fact_coliforms_id long, station_id long, year int, sample_seq int, max_fecal_coliform_mpn_per_100ml double, loaded_at string, _v double, u string, n int"
 
@@ -62,19 +64,35 @@ def got(spark, readings, spec):
 
 
 def test_agrees_with_plain_version_over_chunk_borders(spark):
-    readings = series(3)
-    spec = replace(SpikeSpec(), chunk=7)
-    assert got(spark, readings, spec) == plain(readings, spec)
-    assert {k for _, k in plain(readings, spec)} == {"impossible", "spike", "stuck"}
+    readings_ = series(3)
+    for size in (7, 100, 4096):  # all, one and none of the stations are longer than a chunk
+        spec = replace(SpikeSpec(), chunk=size)
+        assert got(spark, readings_, spec) == plain(readings_, spec)
+    assert {k for _, k in plain(readings_, spec)} == {"impossible", "spike", "stuck"}
 
 
 def test_level_and_scatter_are_exact_in_sources_of_any_size(spark):
-    """Sketches of accuracy 10 stand for sources far above the size below which sketches are exact."""
     rows = [(i, i % 3, round(random.Random(i).gauss(3, 1), 6)) for i in range(1501)]
     got_ = exact_medians(spark.createDataFrame(rows, "i long, s int, x double").repartition(5), "s", "x", "m").collect()
     assert sorted(map(tuple, got_)) == [(s, len(v), statistics.median(v)) for s in range(3) for v in [[x for _, k, x in rows if k == s]]]
-    readings = series(3)
-    assert {(r["_src"], r.level) for r in phase_space_spikes(spark.createDataFrame(readings, SHAPE), replace(SpikeSpec(), accuracy=10)).select("_src", "level").distinct().collect()} <= {(str(s), m) for s in range(6) for m in [level_of(readings, s)]}
+    readings_ = series(3)
+    found = usual(readings(spark.createDataFrame(readings_, SHAPE), SpikeSpec()).filter("_src is not null"), SpikeSpec()).collect()
+    assert {r["_src"]: r.level for r in found} == {str(s): level_of(readings_, s) for s in range(6)}
+
+
+def test_ellipsoids_are_refitted_until_nothing_is_new():
+    """A spike so large that it hides smaller ones in the differences; a long series has the same candidates as its own chunk."""
+    rng = random.Random(5)
+    u = np.array([3 + rng.gauss(0, 0.1) for _ in range(400)])
+    u[[50, 120, 121, 300]] = [9, 6.2, 5.8, -2]
+    level, own, codes = np.full(400, np.median(u)), np.ones(400, bool), np.zeros(400, int)
+    scatter = np.full(400, 1.4826 * np.median(np.abs(u - level)))
+    found = phase_space(u, own, codes, level, scatter)
+    assert {50, 120, 121, 300} <= set(np.flatnonzero(found)) and found.sum() < 60
+    again = np.where(found, level, u)
+    assert not (phase_space(again, own, codes, level, scatter) & ~found).any()
+    two = phase_space(np.r_[u, u], np.r_[own, own], np.r_[codes, codes + 1], np.r_[level, level], np.r_[scatter, scatter])
+    assert (two == np.r_[found, found]).all()
 
 
 def level_of(readings, s):
