@@ -140,8 +140,7 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    sized = documents.drop("text").join(tokens.token_counts(documents, "doc_id", "text"), "doc_id")
+    sized = tokens.token_counts(read_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"], "text")
     return mixing.mix(sized, "doc_id", "tokens", ["source", "lang"], read_table(spark, sf_dir, "mix_targets"), "source")
 
 

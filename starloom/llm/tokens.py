@@ -1,8 +1,9 @@
 """Encoding a whole corpus with a public byte-level BPE tokenizer, each distinct word once.
 
-Texts are split into pre-tokens in the JVM, every distinct pre-token of the corpus is encoded once, and ids are joined back by word and
-put together by position. Words with at least `hot_share` of all occurrences, of which there are at most 1 / hot_share, are joined by
-broadcast and never shuffled; the rest meet the dictionary in a shuffle join. Decoding joins the table of token bytes.
+Texts are split into pre-tokens, every distinct pre-token of the corpus is encoded once, and ids are joined back by word and put together
+by position. Words with at least `hot_share` of all occurrences, of which there are at most 1 / hot_share, are looked up in a broadcast
+table where the text is read and never shuffled; a text goes on as its runs of ids and the distinct words that are missing between them.
+Those meet the dictionary in a shuffle join. Decoding joins the table of token bytes.
 
 Defined results: null and empty texts have no pre-tokens and get the empty list; texts of any length are taken whole; special tokens'
 strings are ordinary text; rows repeated with the same id and text come out as often as they came in; other columns are not read.
@@ -12,23 +13,27 @@ from __future__ import annotations
 
 import base64
 import os
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.functions.sizes import broadcast_if_small
-from starloom.lineage import cut
+from starloom.functions.sizes import broadcast_if_small, in_parts
+from starloom.lineage import written
 
 #: Folder of the public vocabulary files; a parameter everywhere, this is only its default.
 TOKENIZERS = os.environ.get("STARLOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
-#: Fixed value: the tokenizer's published pre-token pattern, with Unicode white space spelled out for Java.
-_SPACE = r"\p{IsWhite_Space}"
-PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: Fixed value: the tokenizer's published pre-token pattern; words come before the endings, which nothing else can begin with.
+_SPACE = r"\p{White_Space}"
+PRE_TOKEN = regex.compile(rf" ?\p{{L}}+| ?\p{{N}}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 def read_ranks(folder: str = TOKENIZERS, name: str = VOCABULARY) -> bytes:
@@ -40,15 +45,34 @@ def ranks_of(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
 
 
-def pre_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0))
+def pre_tokens(text: str | None) -> list[str]:
+    return PRE_TOKEN.findall(text) if text else []
 
 
-def dictionary(words: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """(`word`, `n`, `ids`) of the distinct words of `words(word)`; n counts occurrences."""
-    spark = words.sparkSession
-    distinct = words.groupBy("word").agg(F.count("*").alias("n"))
-    vocabulary = spark.sparkContext.broadcast(read_ranks(folder))  # a vocabulary file, under 1 MB
+def word_counts(df: DataFrame, text_col: str, most_held: int = 200_000) -> DataFrame:
+    """(`word`, `n`): distinct pre-tokens and their occurrences, combined in each task before the shuffle; a task holds `most_held` words at once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column("t").to_pylist():
+                held.update(PRE_TOKEN.findall(text))
+                if len(held) > most_held:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    texts = df.select(F.col(text_col).alias("t")).filter("t <> ''")
+    return texts.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def dictionary(counts: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
+    """`counts` (`word`, `n`) with the `ids` of each word."""
+    vocabulary = counts.sparkSession.sparkContext.broadcast(read_ranks(folder))  # a vocabulary file, under 1 MB
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,41 +80,94 @@ def dictionary(words: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
 
         bpe = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks_of(vocabulary.value), special_tokens={})
         for batch in batches:
-            ids = [bpe._encode_single_piece(w) for w in batch.column("word").to_pylist()]
+            ids = [bpe.encode_ordinary(w) for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    return distinct.mapInArrow(encode, schema)
+    return counts.mapInArrow(encode, schema)
 
 
-def _encoded_words(df: DataFrame, id_col: str, text_col: str, folder: str, hot_share: float) -> DataFrame:
-    """(`id`, `text_key`, `pos`, `ids`): one row per pre-token."""
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), pre_tokens(F.col(text_col)).alias("words"))
-    placed = docs.select("id", "text_key", F.posexplode("words").alias("pos", "word"))
-    words = dictionary(placed.select("word"), folder)
-    words = cut(words)
-    total = words.agg(F.sum("n")).first()[0] or 0
-    hot = words.filter(F.col("n") >= max(1.0, hot_share * total)).select("word", "ids")  # at most 1 / hot_share words
-    cold = words.filter(F.col("n") < max(1.0, hot_share * total)).select("word", "ids")
-    hot = broadcast_if_small(hot, int(1 / hot_share))
-    return placed.join(hot, "word").unionByName(placed.join(hot.select("word"), "word", "left_anti").join(cold, "word")).select("id", "text_key", "pos", "ids")
+class _Hot(dict):
+    """Ids of frequent words; any other word is noted and stands as -1."""
+
+    def __init__(self, rows: dict[str, tuple[int, ...]]) -> None:
+        super().__init__(rows)
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        self.missed.append(word)
+        return (-1,)
+
 
+def _lists(values: pa.Array, sizes: list[int] | np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
 
-def encode(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, hot_share: float = 1e-4) -> DataFrame:
+
+def _looked_up(df: DataFrame, keep: list[str], text_col: str, folder: str, hot_share: float, with_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """Each row of `df` with a key of its own (`_key`), the `keep` columns as `_k0`.., `_hot` (ids found at once), and of the rare words the distinct
+    ones (`_words`), how often each occurs (`_times`), and, with ids, the runs of ids around them (`_runs`) and which word follows each run (`_next`). And the dictionary of rare words."""
+    spark = df.sparkSession
+    rows = in_parts(df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t")))
+    words = written(dictionary(word_counts(rows, "t"), folder))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    least = max(1.0, hot_share * total)
+    hot = spark.sparkContext.broadcast({r.word: tuple(r.ids) for r in words.filter(F.col("n") >= least).select("word", "ids").collect()})  # 1 / hot_share words at most
+    ints, texts = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
+    added = [("_hot", T.LongType()), ("_words", texts), ("_times", ints), *([("_runs", T.ArrayType(ints)), ("_next", ints)] if with_ids else [])]
+    kept = ["_key", *[f"_k{i}" for i in range(len(keep))]]
+    keyed = rows.withColumn("_key", F.monotonically_increasing_id()).select(*kept, "t")
+    schema = T.StructType([*[keyed.schema[c] for c in kept], *[T.StructField(c, kind) for c, kind in added]])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Hot(hot.value)
+        for batch in batches:
+            ids, sizes, rare, times, follows, gaps = [], [], [], [], [], []
+            for text in batch.column("t").to_pylist():
+                table.missed = []
+                found = list(chain.from_iterable(map(table.__getitem__, pre_tokens(text))))
+                ids.append(np.array(found, np.int32))
+                sizes.append(len(found))
+                counts = Counter(table.missed)
+                place = {w: i for i, w in enumerate(counts)}
+                rare.append(list(counts))
+                times += counts.values()
+                gaps.append(len(table.missed))
+                follows += map(place.__getitem__, table.missed)
+            sizes, gaps = np.array(sizes, np.int64), np.array(gaps, np.int64)
+            n = list(map(len, rare))
+            out = [batch.column(c) for c in kept] + [pa.array(sizes - gaps), _lists(pa.array(list(chain.from_iterable(rare)), pa.string()), n), _lists(pa.array(times, pa.int32()), n)]
+            if with_ids:
+                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+                # a run ends before each -1 and at the end of each text; it holds the ids since the last end
+                ends = np.cumsum(sizes)
+                marks = np.flatnonzero(flat < 0)
+                stops = np.sort(np.r_[marks, ends], kind="stable")
+                before = np.searchsorted(marks, stops)  # ids before a stop, without the marks before it
+                runs = _lists(pa.array(flat[flat >= 0]), np.diff(np.r_[0, stops - before]))
+                out += [_lists(runs, gaps + 1), _lists(pa.array(follows, pa.int32()), gaps)]
+            yield pa.RecordBatch.from_arrays(out, [*kept, *[c for c, _ in added]])
+
+    return written(keyed.mapInArrow(look_up, schema)), words.filter(F.col("n") < least).select("word", "ids")
+
+
+def encode(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, hot_share: float = 1e-5) -> DataFrame:
     """(`id_col`, `ids`) for every row of `df`."""
-    parts = _encoded_words(df, id_col, text_col, folder, hot_share).groupBy("id", "text_key").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    # rows given c times have each position c times: every c-th part is taken, and the row given back c times
-    copies = F.size(F.filter("parts", lambda p: p["pos"] == 0))
-    once = F.when(F.col("copies") == 1, F.col("parts")).otherwise(F.filter("parts", lambda p, i: i % F.col("copies") == 0))
-    whole = parts.withColumn("copies", copies).select("id", F.flatten(F.transform(once, lambda p: p["ids"])).alias("ids"), "copies")
-    whole = whole.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(F.col("id").alias(id_col), "ids")
-    bare = df.filter(F.col(text_col).isNull() | (F.col(text_col) == "")).select(F.col(id_col), F.array().cast("array<int>").alias("ids"))
-    return whole.unionByName(bare)
-
-
-def token_counts(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, hot_share: float = 1e-4) -> DataFrame:
-    """(`id_col`, `tokens`) of the rows with a text that isn't empty; ids must be unique. Sums are combined before the shuffle."""
-    words = _encoded_words(df, id_col, text_col, folder, hot_share)
-    return words.groupBy("id").agg(F.sum(F.size("ids")).alias("tokens")).withColumnRenamed("id", id_col)
+    rows, cold = _looked_up(df, [id_col], text_col, folder, hot_share, True)
+    whole = rows.filter(F.size("_words") == 0).select(F.col("_k0").alias(id_col), F.flatten("_runs").alias("ids"))
+    some = rows.filter(F.size("_words") > 0)
+    placed = some.select("_key", F.posexplode("_words").alias("_at", "word")).join(cold, "word")
+    found = placed.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_found"))
+    joined = some.join(found, "_key").withColumn("_found", F.transform("_found", lambda x: x["ids"]))
+    parts = F.zip_with("_runs", "_next", lambda run, at: F.when(at.isNull(), run).otherwise(F.concat(run, F.get(F.col("_found"), at))))
+    return whole.unionByName(joined.select(F.col("_k0").alias(id_col), F.flatten(parts).alias("ids")))
+
+
+def token_counts(df: DataFrame, keep: list[str], text_col: str, folder: str = TOKENIZERS, hot_share: float = 1e-5) -> DataFrame:
+    """The `keep` columns and `tokens` of every row; null and empty texts have 0. Sums are combined before the shuffle."""
+    rows, cold = _looked_up(df, keep, text_col, folder, hot_share, False)
+    rare = rows.select("_key", F.explode(F.arrays_zip("_words", "_times")).alias("w")).select("_key", F.col("w._words").alias("word"), F.col("w._times").alias("times"))
+    sums = rare.join(cold.select("word", F.size("ids").alias("size")), "word").groupBy("_key").agg(F.sum(F.col("times") * F.col("size")).alias("_cold"))
+    tokens = F.col("_hot") + F.coalesce("_cold", F.lit(0))
+    return rows.drop("_words", "_times").join(sums, "_key", "left").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], tokens.alias("tokens"))
 
 
 def token_bytes(spark: SparkSession, folder: str = TOKENIZERS) -> DataFrame:
