@@ -25,6 +25,7 @@ from starloom.functions.sizes import broadcast_if_small, by_key
 from starloom.lineage import cut
 from starloom.llm.automata import SuffixAutomaton, covered
 from starloom.llm.languages import Languages, plain
+from starloom.llm.skeleton import clean
 from starloom.llm.sqltext import prefix_hashes, read, split_answer
 
 #: Phrases by which answers decline, by language, in plain form.
@@ -155,9 +156,7 @@ class Judge:
 
 
 def plain_digits(text: str) -> str:
-    from starloom.llm.skeleton import consistent
-
-    return consistent(text).lower()
+    return clean(text).lower()
 
 
 def judge(df: DataFrame, id_col: str, question: str, raw: str, predicted: str, run: str, samples: dict[str, list[str]], schema: DataFrame, end_share: float = 0.2, least_support: int = 20) -> DataFrame:

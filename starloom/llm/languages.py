@@ -7,14 +7,13 @@ language. Segments shorter than `least_words` words (names, quoted values, colum
 each segment is then the one whose automaton parses it into the fewest phrases.
 
 Defined results: null, empty and blank texts, and texts without a letter, give no segment; whole texts are parsed, however long; texts are
-brought to their consistent form first; equal costs go to the first language by name. Confidence lies between 0.5 and 1: the second best
+brought to their clean form first; equal costs go to the first language by name. Confidence lies between 0.5 and 1: the second best
 language's phrases as a share of the best two's. Labelled text is cut at `most_chars` characters a language, the bound of what is fitted.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.automata import SuffixAutomaton
-from starloom.llm.skeleton import consistent
+from starloom.llm.skeleton import clean
 
 MOST_CHARS = 200_000
 SWITCH = 3.0
@@ -34,8 +33,8 @@ LONGEST = 24
 
 
 def plain(text: str) -> str:
-    """Consistent form, lower case, every digit 0, single spaces."""
-    text = unicodedata.normalize("NFC", consistent(text)).lower()
+    """Clean form, lower case, every digit 0, single spaces."""
+    text = clean(text).lower()
     return re.sub(r"\s+", " ", re.sub(r"\d", "0", text)).strip()
 
 

@@ -110,9 +110,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("task_id_a"), F.col("id_b").alias("task_id_b"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks whose question looks like another one, with their class, its different texts and its tasks."""
+    found = skeleton.look_alikes(read_table(spark, sf_dir, "task_records"), "task_id", "question")
+    return found.groupBy(F.col("id").alias("task_id"), "class_id", "texts", "members").agg(F.count("*").alias("own_texts"))
+
+
 def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each task's question in its one consistent form, and whether it was changed."""
-    tasks = read_table(spark, sf_dir, "task_records").select("task_id", "question", skeleton.consistent_of(F.col("question")).alias("consistent"))
+    tasks = skeleton.one_form(read_table(spark, sf_dir, "task_records"), "task_id", "question")
     return tasks.withColumn("changed", ~F.col("question").eqNullSafe(F.col("consistent")))
 
 
@@ -168,7 +174,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("share", F.col("truncated") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_report, p4_daily, p4_percentiles, p4_months, p4_bound, p5_found, p5_consistent, p6_kept, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_report, p4_daily, p4_percentiles, p4_months, p4_bound, p5_found, p5_classes, p5_consistent, p6_kept, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report, p9_found, p9_report)}
 
 _SIDES = "SELECT 'lang' AS dim, lang AS grp, comet_score AS v FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score) UNION ALL SELECT 'db', db, comet_score FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score)"
 

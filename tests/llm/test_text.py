@@ -52,7 +52,30 @@ def test_different(a, b):
 def test_skeleton_is_stable(text):
     once = skeleton.skeleton(text)
     assert skeleton.skeleton(once) == once
-    assert skeleton.skeleton(skeleton.consistent(text)) == once
+    assert skeleton.skeleton(skeleton.clean(text)) == once
+    assert skeleton.clean(skeleton.clean(text)) == skeleton.clean(text)
+
+
+def test_clean_form_keeps_alphabets_that_are_meant():
+    for text in ("Москва и Рим", "ΑΘΗΝΑ 12", "Соты", "where is Москва"):
+        assert skeleton.clean(text) == text
+    assert [skeleton.clean(t) for t in ("hоw mаny", "Which сор", "ＡＢ　ｃ", "अाहेत", "wo\u200brd", "")] == ["how many", "Which cop", "AB c", "आहेत", "word", ""]
+    assert skeleton.clean(None) is None
+
+
+def test_public_table(spark):
+    letters = skeleton.public_letters(spark)
+    table = skeleton.Prototypes(letters)
+    form = lambda t: skeleton.skeleton(t, table)
+    assert len(letters) > 2000
+    for one, two in [*ALIKE, ("ᗅ", "A"), ("Ƅ", "b"), ("ℓ", "l"), ("Ⅳ", "IV"), ("ⅰ", "i"), ("І", "I"), ("ӏ", "l"), ("ओ", "अो"), ("ഔ", "ഒൗ"), ("औ", "अौ"), ("औ", "अाै"), *skeleton.COMPOSED_VOWELS.items()]:
+        assert form(one) == form(two), (one, two)
+    for one, two in [*DIFFERENT, ("Москва", "Moscow"), ("ः", ":"), ("।", "l")]:
+        assert form(one) != form(two), (one, two)
+    for ch in letters:
+        assert form(form(ch)) == form(ch), ch
+    for whole, letters_ in skeleton.LOOK_ALIKES.items():
+        assert {form(ch) for ch in letters_} == {whole}
 
 
 def test_pairs_against_brute_force(spark):
@@ -67,6 +90,10 @@ def test_pairs_against_brute_force(spark):
     texts = {(i, t) for i, t, *_ in rows if i is not None and t}
     assert got == sorted({(i, j) for i, s in texts for j, t in texts if i < j and s != t and skeleton.skeleton(s) == skeleton.skeleton(t)}) and got
     assert skeleton.look_alike_pairs(spark.createDataFrame([], "id long, q string"), "id", "q").count() == 0
+    forms = {(r.id, r.q): r.consistent for r in skeleton.one_form(spark.createDataFrame(rows, "id long, q string, key int, own string"), "id", "q").collect()}
+    for (_, s), a in forms.items():
+        for (_, t), b in forms.items():
+            assert (a == b) == (skeleton.skeleton(s) == skeleton.skeleton(t)), (s, t)
 
 
 @pytest.fixture(scope="module")
