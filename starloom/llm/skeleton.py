@@ -80,7 +80,8 @@ class Prototypes(dict):
         return ch
 
 
-PROTOTYPES, PLAIN = Prototypes(_LETTERS), Prototypes({})
+#: The second leaves look-alike letters as they are.
+PROTOTYPES, PLAIN = Prototypes(_LETTERS), Prototypes({ch: ch for letters in LOOK_ALIKES.values() for ch in letters})
 
 
 def public_letters(spark: SparkSession) -> dict[str, str]:

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from starloom.llm import answers, languages, skeleton, sqltext, truncation
-from starloom.llm.automata import SuffixAutomaton, covered
+from starloom.llm.automata import SuffixAutomaton, Walkers, covered
 from starloom.llm.sqltext import read, split_answer
 
 
@@ -30,6 +30,25 @@ def test_suffix_automaton_against_brute_force(text, query):
     assert covered(m, 2) == len({p for e, n in enumerate(m, 1) if n >= 2 for p in range(e - n, e)})
 
 
+@given(st.lists(st.text("abc", max_size=25), min_size=1, max_size=3), st.lists(st.text("abcd", min_size=1, max_size=12), min_size=1, max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_walkers_against_single_automata(texts, queries):
+    walkers = Walkers({str(i): t for i, t in enumerate(texts)})
+    number = walkers.numbers(np.array([ord(ch) for ch in "".join(queries)]))
+    ends = np.cumsum([len(q) for q in queries])
+    spans = np.repeat(np.c_[np.r_[0, ends[:-1]], ends], len(texts), axis=0)
+    which = np.tile(np.arange(len(texts)), len(queries))
+    got = np.full((len(texts), len(number)), -1)
+
+    def put(lane, places, lengths):
+        got[lane, places] = lengths
+
+    walkers.matches(number, spans, which, 3, put)
+    single = [SuffixAutomaton(t) for t in texts]
+    assert got.tolist() == [[min(m, 3) for q in queries for m in a.matches(q)] for a in single]
+    assert walkers.phrases(number, spans, which).tolist() == [a.phrases(q) for q in queries for a in single]
+
+
 ALIKE = [
     ("Which ﬁve", "Which five"), ("ａｂｃ １２，", "abc 12,"), ("wo​rd﻿", "word"), ("a b　c d", "a b c d"), ("Cаfе́", "Café"), ("Café", "Café"), ("आहेत", "अाहेत"), ("কো", "কো"), ("ড়", "ড়"),
     ("ΚΜ", "KM"), ("іѕ", "is"),
@@ -120,10 +139,35 @@ def test_languages_of_odd_texts(spark, samples):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "12 ?!"), (5, "How many wells are there near 'Kotapalli' in the year 2001?"), (6, "नापल्ली में कितने कुएँ हैं " * 300)]
     got = languages.identify(spark.createDataFrame([(i, t, "x") for i, t in rows], "id int, t string, language string"), "id", "t", samples).collect()
     assert sorted((r.id, r.segment_no, r.language) for r in got) == [(5, 1, "English"), (6, 1, "Hindi")]
-    assert all(0.5 <= r.confidence <= 1 for r in got)
+    assert all(0.5 < r.confidence <= 1 for r in got)
     assert languages.identify(spark.createDataFrame([], "id int, t string"), "id", "t", samples).count() == 0
 
 
+def test_short_clauses_and_unknown_scripts(samples):
+    model = languages.Languages(samples)
+    names = lambda t: [(name, round(c, 3)) for name, c, _ in model.segments(t)]
+    only = lambda t: [name for name, _ in names(t)]
+    assert only("How many wells are there in the block of Goa? कितने कुएँ हैं?") == ["English", "Hindi"]
+    assert only("Join the yearly table with the place table. எத்தனை கிணறுகள் உள்ளன?") == ["English", "Tamil"]
+    assert only("নলকূপ এর উপরে কত অকৃষি প্রতিষ্ঠান (latest revision)?") == ["Bengali"]
+    assert only("নলকূপ এর উপরে কত অকৃষি প্রতিষ্ঠান (How many wells?)") == ["Bengali", "English"]
+    assert only("நாபள்ளி இல் 'Form B' மற்றும் total wells எத்தனை உள்ளன?") == ["Tamil"]
+    for text in ("كم عدد الآبار في المنطقة؟", "这个地区有多少口井？", "આ જિલ્લામાં કેટલા કૂવા છે?", "ਇਸ ਜ਼ਿਲ੍ਹੇ ਵਿੱਚ ਕਿੰਨੇ ਖੂਹ ਹਨ?"):
+        assert names(text) == [("und", 0.0)]
+    assert only("Join the yearly table with the place table before grouping. આ જિલ્લામાં કેટલા કૂવા છે?") == ["English", "und"]
+    ((_, sure),) = names("গণনাকারীরা জানিয়েছেন যে 1995 সালে শিক্ষক পদ দুবার লেখা হয়েছিল")
+    assert 0.5 < sure < 1  # measured, though no other language has the script
+
+
+def test_long_texts_are_parsed_in_blocks(samples, monkeypatch):
+    model = languages.Languages(samples)
+    text = " ".join(t for pair in zip(samples["Tamil"][:30], samples["English"][:30]) for t in pair)
+    whole = model.segments(text)
+    assert len(text) > 4 * languages.BLOCK and len(whole) > 30
+    monkeypatch.setattr(languages, "BLOCK", 1 << 20)
+    assert model.segments(text) == whole
+
+
 COLUMNS, TABLES = frozenset(["district_id", "district_name", "wells", "calendar_year"]), frozenset(["fact_wells", "dim_district"])
 WHOLE = [
     "SELECT COUNT(*) FROM fact_wells WHERE wells < 5;", "SELECT d.district_name, SUM(f.wells) AS total_wells FROM fact_wells f JOIN dim_district d ON f.district_id = d.district_id GROUP BY d.district_name HAVING SUM(f.wells) > 3",
