@@ -39,7 +39,8 @@ COMPOSED_VOWELS = {
     "\u0986": "\u0985\u09be", "\u0a06": "\u0a05\u0a3e", "\u0a86": "\u0a85\u0abe", "\u0a93": "\u0a85\u0acb", "\u0a94": "\u0a85\u0acc", "\u0b06": "\u0b05\u0b3e",
     "\u0b94": "\u0b92\u0bb3", "\u0c13": "\u0c12\u0c55", "\u0c14": "\u0c12\u0c4c",
 }
-_LETTERS = COMPOSED_VOWELS | {ch: latin for latin, drawn in LOOK_ALIKES.items() for ch in drawn}
+#: And the length mark into which Unicode takes apart the vowel sign `au` of Tamil, drawn like a letter.
+_LETTERS = COMPOSED_VOWELS | {"\u0bd7": "\u0bb3"} | {ch: latin for latin, drawn in LOOK_ALIKES.items() for ch in drawn}
 
 #: Compatibility decompositions that keep the look: width, kind of space, ligatures and presentation forms.
 KEEPS_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
@@ -130,6 +131,7 @@ def without_joiners(text: str) -> str:
 
 _WORD = re.compile(r"[^\W\d_]+")
 _FOREIGN = {ord(ch): latin for latin, letters in LOOK_ALIKES.items() for ch in letters}
+_ANY_FOREIGN = re.compile("[" + "".join(map(chr, _FOREIGN)) + "]")
 _TWO_PARTS = {two: one for one, two in COMPOSED_VOWELS.items()}
 _TWO = re.compile("|".join(_TWO_PARTS))
 
@@ -145,7 +147,7 @@ def clean(text: str | None) -> str | None:
         return text
     out = without_joiners(unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(PLAIN)))
     out = _TWO.sub(lambda m: _TWO_PARTS[m[0]], unicodedata.normalize("NFC", out))
-    if any(ord(ch) in _FOREIGN for ch in out):
+    if _ANY_FOREIGN.search(out):
         words = [(m, {_alphabet(ch) for ch in m[0]}) for m in _WORD.finditer(out)]
         # an alphabet is meant where a word of its letters alone holds one that isn't drawn like a Latin one
         meant = {next(iter(a)) for m, a in words if len(a) == 1 and any(ord(ch) not in _FOREIGN for ch in m[0])}
