@@ -26,7 +26,7 @@ from starloom.lineage import cut
 from starloom.llm.automata import SuffixAutomaton, covered
 from starloom.llm.languages import Languages, plain
 from starloom.llm.skeleton import clean
-from starloom.llm.sqltext import prefix_hashes, read, split_answer
+from starloom.llm.sqltext import Statement, prefix_hashes, read, split_answer
 
 #: Phrases by which answers decline, by language, in plain form.
 REFUSALS = {
@@ -86,6 +86,7 @@ class Votes:
 class Judge:
     def __init__(self, samples: dict[str, list[str]], columns: list[str], tables: list[str]) -> None:
         self.votes = Votes(samples)
+        self.forms: dict[str, tuple[Statement, list[int]]] = {}
         self.columns, self.tables = frozenset(c.lower() for c in columns), frozenset(t.lower() for t in tables)
         try:
             import ahocorasick
@@ -118,6 +119,15 @@ class Judge:
         named = {re.sub(r"\D", "", x) for x in re.findall(r"\d[\d,]*", plain_digits(question))}
         return tokens[-1] not in named and any(x.startswith(tokens[-1]) for x in named)
 
+    def form(self, statement: str) -> tuple[Statement, list[int]]:
+        """A statement's tokens and the hashes of its beginnings; prediction and answer mostly hold the same one."""
+        if statement not in self.forms:
+            if len(self.forms) >= 256:
+                self.forms.clear()
+            s = read(statement, self.columns, self.tables)
+            self.forms[statement] = s, prefix_hashes(s.skeleton)
+        return self.forms[statement]
+
     def judge(self, question: str | None, raw: str | None, predicted: str | None) -> dict:
         question, raw, predicted = question or "", raw or "", predicted or ""
         statement, prose = split_answer(raw)
@@ -129,11 +139,11 @@ class Judge:
         forms = []
         for name, text in (("raw_form", statement), ("other_form", other)):
             if text:
-                s = read(text, self.columns, self.tables)
+                s, hashes = self.form(text)
                 if s.broken or self.cut_number(s.tokens, question):
                     return out | {"defect": "truncated"}
                 forms.append([t.lower() for t in s.tokens])
-                out[name] = prefix_hashes(s.skeleton)
+                out[name] = hashes
         if len(forms) == 2 and forms[0] != forms[1]:
             short, long = sorted(forms, key=lambda x: len("".join(x)))
             if short and len("".join(short)) < len("".join(long)) and "".join(long).startswith("".join(short)):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 TOKEN = re.compile(r"\s+|--[^\n]*|'(?:[^']|'')*'|\"[^\"]*\"|\d+(?:\.\d+)?|[^\W\d]\w*|<=|>=|<>|!=|\|\||::|.", re.S)
 
@@ -135,10 +136,16 @@ def read(statement: str, columns: frozenset[str], tables: frozenset[str]) -> Sta
     return Statement(tokens, skeleton, bool(stack) or cases or quotes or tail or lone or "from" not in low or unknown)
 
 
+@lru_cache(1 << 14)
+def _token_hash(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
 def prefix_hashes(skeleton: list[str]) -> list[int]:
-    """A 64-bit hash of every prefix of the masked tokens, in one pass."""
-    state, out = hashlib.blake2b(digest_size=8), []
+    """A 64-bit hash of every prefix of the masked tokens, in one pass: each token's hash is mixed into a running state."""
+    state, out = 0, []
     for t in skeleton:
-        state.update(t.encode() + b"\0")
-        out.append(int.from_bytes(state.copy().digest(), "big", signed=True))
+        state = (state ^ _token_hash(t)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        state ^= state >> 29
+        out.append(state - (1 << 64) if state >> 63 else state)
     return out

@@ -32,11 +32,13 @@ from starloom.llm.sqltext import START, _begins, read, split_answer
 LETTERS = "A-Za-zÀ-ɏʰ-ͯͰ-Ͽ҃-ԯऀ-ॣ॰-৥ৰ-੥ੰ-૥૰-୥୰-௥௰-౥౰-೥೰-൥൰-෿"
 PIECE = re.compile(rf"[{LETTERS}]+|\d[\d,]*|\s+|.", re.S)
 WORD = re.compile(rf"[{LETTERS}]")
+WORDS, LAST_WORD = re.compile(rf"[{LETTERS}]+"), re.compile(rf"[{LETTERS}]+\Z")
 LOOKED_THROUGH = re.compile(r"(?:\s|…|\.\.\.|�|```|;)+\Z")
 CLOSING = re.compile(r"[\s.?!।॥\"'”’)\]]+\Z")
 STOP = re.compile(r"[?!।॥.][\"'”’)\]\s]*\Z")
 #: Stands before every text, so that a context which reaches back to the start is no other text's middle.
 START_OF_TEXT = "\x02"
+NOT_ENDS = frozenset((START_OF_TEXT, " ", "\n"))
 LENGTHS = (48, 36, 24, 16, 10, 6, 4)
 #: Place in LENGTHS of the context by which texts ending in a full stop are judged: short, so that abbreviations have full support.
 AFTER_STOP = 4
@@ -49,7 +51,22 @@ def pieces(text: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    return [p for p in pieces(text) if WORD.match(p)]
+    return WORDS.findall(text)
+
+
+class _Masks(dict):
+    """Masked form of a piece, worked out on first use; forgotten when there are many."""
+
+    def __init__(self, known: frozenset[str], most: int = 1 << 17) -> None:
+        super().__init__()
+        self.known, self.most = known, most
+
+    def __missing__(self, p: str) -> str:
+        if len(self) >= self.most:
+            self.clear()
+        out = "0" if p[0].isdigit() else ("\n" if "\n" in p else " ") if p.isspace() else "X" if WORD.match(p) and p not in self.known else p
+        self[p] = out
+        return out
 
 
 class Rolling:
@@ -105,20 +122,10 @@ class Model:
         self.beginnings = {w[:i] for w in known for i in range(1, len(w))}
         # places inside known words where another known word ends: a text cut there goes on inside the word
         self.inside = {w: at for w in known if (at := [i for i in range(1, len(w)) if w[:i] in known])}
-        self.rolling, self.lengths = Rolling(), np.array(LENGTHS)
+        self.rolling, self.lengths, self.masks = Rolling(), np.array(LENGTHS), _Masks(known)
 
     def mask(self, text: str) -> list[str]:
-        out = []
-        for p in pieces(text):
-            if p[0].isdigit():
-                out.append("0")
-            elif p.isspace():
-                out.append("\n" if "\n" in p else " ")
-            elif WORD.match(p) and p not in self.known:
-                out.append("X")
-            else:
-                out.append(p)
-        return out
+        return list(map(self.masks.__getitem__, pieces(text)))
 
     def statement_at_end(self, text: str) -> tuple[str, str] | None:
         """(text before, statement) if the text ends in a statement."""
@@ -146,20 +153,21 @@ class Model:
             return {"pieces": [START_OF_TEXT, *self.mask(found[0]), "\n", *tokens], "stop": "", "fragment": s.broken, "counts": not s.broken}
         stop = STOP.search(body)
         inner = CLOSING.sub("", body)
-        last = next(iter(pieces(inner)[-1:]), "")
-        if not any(WORD.match(p) or p[0].isdigit() for p in pieces(inner)):
+        if not WORD.search(inner) and not any(map(str.isdigit, inner)):
             return None
+        cells = pieces(inner)
+        last = cells[-1]
         unknown = bool(WORD.match(last)) and last not in self.known
         mark = stop[0][0] if stop else ""
-        return {"pieces": [START_OF_TEXT, *self.mask(inner)], "stop": mark, "fragment": unknown and not mark and (last[0].islower() or last in self.beginnings), "counts": bool(mark) or not unknown}
+        return {"pieces": [START_OF_TEXT, *map(self.masks.__getitem__, cells)], "stop": mark, "fragment": unknown and not mark and (last[0].islower() or last in self.beginnings), "counts": bool(mark) or not unknown}
 
     def count(self, seen: dict, tally: Tally) -> np.ndarray:
         """Adds a text's contexts to the tally; returns those of its end."""
         pieces_ = seen["pieces"]
         masked = "".join(pieces_)
-        after = np.cumsum([len(p) for p in pieces_])
-        at = after[[not p.isspace() and p is not START_OF_TEXT for p in pieces_]]
-        inner = [end - len(p) + i for p, end in zip(pieces_, after) if p in self.inside for i in self.inside[p]]
+        after = np.cumsum(list(map(len, pieces_)))
+        at = after[~np.fromiter(map(NOT_ENDS.__contains__, pieces_), bool, len(pieces_))]
+        inner = [end - len(p) + i for p, end in zip(pieces_, after.tolist()) if p in self.inside for i in self.inside[p]]
         contexts = self.rolling.ending_at(masked, at, self.lengths)
         last = at == len(masked)
         tally.add("goes_on", contexts[~last])
@@ -181,13 +189,13 @@ def _words(df: DataFrame, text: str) -> DataFrame:
 
         for frame in frames:
             for t in frame["t"]:
-                found = pieces(LOOKED_THROUGH.sub("", t))
-                counts.update(p for p in found if WORD.match(p))
-                if found and WORD.match(found[-1]):
-                    bare[found[-1]] += 1
-            if len(counts) > 200_000:
-                yield out()
-                counts, bare = Counter(), Counter()
+                body = LOOKED_THROUGH.sub("", t)
+                counts.update(words_of(body))
+                if last := LAST_WORD.search(body):
+                    bare[last[0]] += 1
+                if len(counts) > 200_000:
+                    yield out()
+                    counts, bare = Counter(), Counter()
         yield out()
 
     rows = in_parts(df.select(F.col(text).alias("t"))).filter("t is not null").mapInPandas(run, "word string, n bigint, bare bigint")
