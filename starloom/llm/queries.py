@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.functions.sizes import by_key
+from starloom.functions.sizes import broadcast_if_small, by_key
 from starloom.functions.transforms import strip
 from starloom.llm import answers, cutoffs, languages, mixing, quantiles, skeleton, tokens, truncation
 from starloom.llm.sqltext import split_answer
@@ -98,7 +98,7 @@ def p4_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = read_table(spark, sf_dir, "translation_scores").filter(F.col("comet_score").isNotNull() & ~F.isnan("comet_score"))
     sides = F.explode(F.array(F.struct(F.lit("lang").alias("dim"), F.col("lang").alias("grp")), F.struct(F.lit("db").alias("dim"), F.col("db").alias("grp"))))
     exact = scores.select(F.col("comet_score").alias("v"), sides.alias("s")).groupBy("s.dim", "s.grp", "v").agg(F.count("*").alias("c"))
-    near = exact.join(F.broadcast(long.withColumnsRenamed({"dim": "d", "grp": "g"})), (F.col("dim") == F.col("d")) & F.col("grp").eqNullSafe(F.col("g")))
+    near = exact.join(broadcast_if_small(long.withColumnsRenamed({"dim": "d", "grp": "g"})), (F.col("dim") == F.col("d")) & F.col("grp").eqNullSafe(F.col("g")))
     ranks = near.groupBy("d", "g", "q", "n", "rank_error").agg(F.sum(F.when(F.col("v") < F.col("x"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("x"), F.col("c")).otherwise(0)).alias("upto"))
     slack = F.col("rank_error") * F.col("n") + 1
     return ranks.select(F.col("d").alias("dim"), F.col("g").alias("grp"), "q", "n", ((F.col("below") - slack <= F.col("q") * F.col("n")) & (F.col("upto") + slack >= F.col("q") * F.col("n"))).alias("within"))
@@ -160,6 +160,20 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_mixed(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"), "source")
 
 
+def p8_shortage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of db, lang and source with seven tenths of all that it can give, in characters: each leaf's room and budget, and whether what is taken meets it.
+
+    Many leaves are short at that budget, so their siblings and then other branches give more than their own part.
+    """
+    levels = ["db", "lang", "source"]
+    rows = mixing.sized_rows(read_table(spark, sf_dir, "documents"), "doc_id", "n_chars", levels, read_table(spark, sf_dir, "mix_targets"), "source")
+    plan = mixing.budgets(rows, levels, "source", room_share=0.7)
+    taken = mixing.take(rows, plan, "doc_id", levels).groupBy(*levels).agg(F.sum(F.col("tokens") * F.col("uses")).alias("taken"))
+    both = plan.join(taken.withColumnsRenamed({x: "_t_" + x for x in levels}), mixing._same(levels, "_t_"), "left")
+    near = F.abs(F.coalesce("taken", F.lit(0)) - F.col("budget")) <= F.col("largest") / 2 + 1
+    return both.select(*levels, F.col("tokens").alias("chars"), F.col("room").cast("long").alias("room"), F.round("budget", 3).alias("budget"), near.alias("met"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut off before its end."""
     found = truncation.truncated(read_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", read_table(spark, sf_dir, "schema_columns"))
@@ -174,7 +188,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("share", F.col("truncated") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_report, p4_daily, p4_percentiles, p4_months, p4_bound, p5_found, p5_classes, p5_consistent, p6_kept, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_report, p4_daily, p4_percentiles, p4_months, p4_bound, p5_found, p5_classes, p5_consistent, p6_kept, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report, p8_shortage, p9_found, p9_report)}
 
 _SIDES = "SELECT 'lang' AS dim, lang AS grp, comet_score AS v FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score) UNION ALL SELECT 'db', db, comet_score FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score)"
 
@@ -191,5 +205,17 @@ SELECT t.lang, t.f AS target_fraction, coalesce(c.n, 0) AS scored, c.cutoff,
  FROM translation_scores x JOIN (SELECT lang, max(target_fraction) AS f FROM keep_targets WHERE lang IS NOT NULL GROUP BY lang) t ON x.lang = t.lang WHERE x.comet_score IS NOT NULL AND NOT isnan(x.comet_score)),
 c AS (SELECT lang, max(CASE WHEN rn = least(n, CAST(ceil(f * n - 1e-9) AS BIGINT)) THEN comet_score END) AS cutoff FROM s GROUP BY lang)
 SELECT s.db, s.lang, s.pair_id, s.comet_score, s.src, s.mt, s.scored_at FROM s JOIN c ON s.lang = c.lang AND s.comet_score >= c.cutoff""",
+    "p8_shortage": """WITH goals AS (SELECT source, max(target_share) AS share, max(coalesce(max_repeats, 1)) AS most FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 GROUP BY source),
+leaf AS (SELECT db, lang, d.source, sum(n_chars)::DOUBLE AS chars, sum(n_chars)::DOUBLE * any_value(most) AS room, any_value(share) AS share FROM documents d JOIN goals g ON d.source = g.source WHERE n_chars > 0 GROUP BY db, lang, d.source),
+w AS (SELECT *, share * chars / sum(chars) OVER (PARTITION BY source) AS weight FROM leaf),
+n1 AS (SELECT db, sum(weight) AS weight, sum(room) AS room, 0.7 * (SELECT sum(room) FROM w) AS has FROM w GROUP BY db),
+l1 AS (SELECT *, (has - coalesce(sum(room) OVER (ORDER BY room / weight, db ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY room / weight, db ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM n1),
+b1 AS (SELECT db, coalesce(least(room, max(CASE WHEN v * weight < room THEN v END) OVER () * weight), room) AS has FROM l1),
+n2 AS (SELECT w.db, lang, sum(weight) AS weight, sum(room) AS room, any_value(has) AS has FROM w JOIN b1 ON w.db IS NOT DISTINCT FROM b1.db GROUP BY w.db, lang),
+l2 AS (SELECT *, (has - coalesce(sum(room) OVER (PARTITION BY db ORDER BY room / weight, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (PARTITION BY db ORDER BY room / weight, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM n2),
+b2 AS (SELECT db, lang, coalesce(least(room, max(CASE WHEN v * weight < room THEN v END) OVER (PARTITION BY db) * weight), room) AS has FROM l2),
+n3 AS (SELECT w.*, has FROM w JOIN b2 ON w.db IS NOT DISTINCT FROM b2.db AND w.lang IS NOT DISTINCT FROM b2.lang),
+l3 AS (SELECT *, (has - coalesce(sum(room) OVER (PARTITION BY db, lang ORDER BY room / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (PARTITION BY db, lang ORDER BY room / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM n3)
+SELECT db, lang, source, chars::BIGINT AS chars, room::BIGINT AS room, round(coalesce(least(room, max(CASE WHEN v * weight < room THEN v END) OVER (PARTITION BY db, lang) * weight), room), 3) AS budget, true AS met FROM l3""",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,20 +91,71 @@ def test_encoding_round_trip(spark, hot):
     assert tokens.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_budgets_give_shortages_to_siblings_first():
-    leaves = [{"domain": "x", "lang": "en", "tokens": 100.0}, {"domain": "x", "lang": "hi", "tokens": 1000.0}, {"domain": "y", "lang": "en", "tokens": 1000.0}]
-    _, plan = mixing.budgets(leaves, ["domain", "lang"], {"x": 0.5, "y": 0.5}, "domain", {"x": 1, "y": 1}, 1000)
-    assert plan[("y", "en")] == 500 and round(plan[("x", "en")] + plan[("x", "hi")], 6) == 500
-    # x as a whole is short: the rest goes to the ancestor's other child
-    _, plan = mixing.budgets(leaves, ["domain", "lang"], {"x": 0.9, "y": 0.1}, "domain", {"x": 1, "y": 1}, 2000)
-    assert plan[("x", "en")] == 100 and plan[("x", "hi")] == 1000 and plan[("y", "en")] == 900
-    # the default meets every target: x can give 2200, so 2200 / 0.9 in all
-    _, plan = mixing.budgets(leaves, ["domain", "lang"], {"x": 0.9, "y": 0.1}, "domain", {"x": 2, "y": 1})
-    assert round(sum(plan.values()), 3) == round(2200 / 0.9, 3)
-    # one level inside another tree: a leaf that is short leaves its part to its siblings
-    leaves = [{"domain": "d", "lang": "en", "source": "a", "tokens": 10.0}, {"domain": "d", "lang": "en", "source": "b", "tokens": 500.0}, {"domain": "e", "lang": "en", "source": "c", "tokens": 500.0}]
-    _, plan = mixing.budgets(leaves, ["domain", "lang", "source"], {"a": 0.3, "b": 0.3, "c": 0.4}, "source", {"a": 1, "b": 1, "c": 1}, 500)
-    assert [round(plan[k]) for k in (("d", "en", "a"), ("d", "en", "b"), ("e", "en", "c"))] == [10, 290, 200]
+def spread(node, budget):
+    """Gives `budget` to a node {weight, room, children} and down its tree, round by round: what a child cannot use goes to its siblings."""
+    node["budget"] = left = min(budget, node["room"])
+    children, shares = node["children"], [0.0] * len(node["children"])
+    open_ = list(range(len(children)))
+    while open_ and left > 1e-9:
+        total = sum(children[i]["weight"] for i in open_)
+        full = [i for i in open_ if shares[i] + left * children[i]["weight"] / total >= children[i]["room"]]
+        if not full:
+            for i in open_:
+                shares[i] += left * children[i]["weight"] / total
+            break
+        for i in full:
+            left -= children[i]["room"] - shares[i]
+            shares[i] = children[i]["room"]
+        open_ = [i for i in open_ if i not in full]
+    for child, share in zip(children, shares):
+        spread(child, share)
+
+
+def brute_budgets(leaves, weights, repeats, budget):
+    of_name = Counter()
+    for path, tokens in leaves:
+        of_name[path[-1]] += tokens
+
+    def node(prefix):
+        below = [(p, n) for p, n in leaves if p[: len(prefix)] == prefix]
+        names = list(dict.fromkeys(p[len(prefix)] for p, _ in below)) if len(prefix) < len(leaves[0][0]) else []
+        return {"path": prefix, "weight": sum(weights[p[-1]] * n / of_name[p[-1]] for p, n in below), "room": sum(n * repeats[p[-1]] for p, n in below), "children": [node((*prefix, x)) for x in names]}
+
+    root = node(())
+    spread(root, budget)
+    out = {}
+
+    def walk(n):
+        if not n["children"]:
+            out[n["path"]] = n["budget"]
+        for child in n["children"]:
+            walk(child)
+
+    walk(root)
+    return out
+
+
+def test_budgets_give_shortages_to_siblings_first(spark):
+    goals = [("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.2, 2), ("gone", 0.4, 1)]
+    weights, repeats = {s: w for s, w, _ in goals}, {s: r for s, _, r in goals}
+    targets = spark.createDataFrame(goals, "source string, target_share double, max_repeats int")
+    rng = random.Random(3)
+    paths = [(d, x, s) for d in ("x", "y", None, "") for x in ("en", "hi", None) for s in "abc" if rng.random() < 0.7]
+    leaves = [(p, rng.choice([3, 10, 200, 5000])) for p in paths]
+    df = spark.createDataFrame([(i, *p, n) for i, (p, n) in enumerate(leaves)], "id int, domain string, lang string, source string, size int")
+    levels = ["domain", "lang", "source"]
+    rows = mixing.sized_rows(df, "id", "size", levels, targets, "source")
+    room = sum(n * repeats[p[-1]] for p, n in leaves)
+    for budget in (50.0, 0.4 * room, 0.8 * room, 2.0 * room):
+        got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(rows, levels, "source", budget).collect()}
+        want = brute_budgets(leaves, weights, repeats, budget)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 * room for k in want)
+    # the default meets every target that has rows
+    of = {s: sum(n for p, n in leaves if p[-1] == s) for s in "abc"}
+    total = sum(r.budget for r in mixing.budgets(rows, levels, "source").collect())
+    assert abs(total - min(of[s] * repeats[s] / weights[s] for s in of)) < 1e-6 * total
+    # a null name and an empty one stay apart
+    assert {r.domain for r in mixing.mix(df, "id", "size", levels, targets, "source", 2.0 * room).collect()} == {p[0] for p in paths}
 
 
 def test_mixture(spark):
@@ -127,5 +179,3 @@ def test_mixture(spark):
     report = {r.source: r for r in mixing.report(run(), goals, "source").collect()}
     assert report["absent"].tokens == 0 and report["big"].most_uses == 1 and report["small"].records == len([r for r in got.values() if r.source == "small"])
     assert mixing.mix(df.limit(0).drop("uses"), "doc_id", "tokens", ["source", "lang"], goals, "source").count() == 0
-    with pytest.raises(ValueError):
-        run(max_leaves=1)
