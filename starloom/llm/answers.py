@@ -83,6 +83,24 @@ class Votes:
         return first, score[first] - score[second]
 
 
+def learn(records: DataFrame, language: str, question: str, raw: str, predicted: str, samples: dict[str, list[str]], most_prompts: int = 4000, most_prose: int = 4000) -> dict[str, list[str]]:
+    """`samples`, prompts with their label, and prose of answers, by which votes know the words of answers.
+
+    At most `most_prompts` labelled prompts and `most_prose` answers (the first by the hash of their text) are looked at, which bounds what is fitted and nothing else.
+    An answer's prose is kept only if the samples and prompts alone say that it is in its prompt's language, so an answer in another language teaches nothing.
+    """
+    known = records.filter(F.col(language).isin(list(samples))).select(F.col(language).alias("l"), F.col(question).alias("q"), F.col(raw).alias("r"), F.length(F.coalesce(predicted, F.lit(""))).alias("n"))
+    out = {name: list(texts) for name, texts in samples.items()}
+    for row in known.filter("q is not null").select("l", "q").distinct().orderBy(F.xxhash64("q"), "l").limit(most_prompts).collect():
+        out[row["l"]].append(row["q"])
+    votes, spoken = Votes(out), known.filter((F.col("n") > 20) & (F.length("r") >= F.col("n") + 30))
+    for row in spoken.select("l", "r").distinct().orderBy(F.xxhash64("r"), "l").limit(most_prose).collect():
+        prose = split_answer(row["r"])[1]
+        if prose and votes.best(prose)[0] == row["l"]:
+            out[row["l"]].append(prose)
+    return out
+
+
 class Judge:
     def __init__(self, samples: dict[str, list[str]], columns: list[str], tables: list[str]) -> None:
         self.votes = Votes(samples)

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHRINK = 2 / 3
+#: What a sketch takes besides its values, in values of eight bytes.
+SKETCH_VALUES = 64
 
 
 def rank_error(k: int, failure: float = 0.01) -> float:
@@ -129,7 +131,7 @@ def sketches(df: DataFrame, groups: dict[str, Column], value: Column, k: int = 2
     """(`groups`..., `n`, `sketch`): partial sketches of each task's rows, without a shuffle.
 
     A task gathers `buffer_rows` rows before it groups them, and writes out and forgets its sketches whenever they hold more than
-    `held_values` values, so its memory has a bound however many groups there are.
+    `held_values` values, a sketch counting as SKETCH_VALUES more, so its memory has a bound however many groups there are.
     """
     rows = df.select(*[c.alias(name) for name, c in groups.items()], value.cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     names = list(groups)
@@ -147,7 +149,7 @@ def sketches(df: DataFrame, groups: dict[str, Column], value: Column, k: int = 2
             keys = zip(*[table.column(g).take(pa.array(order[firsts])).to_pylist() for g in names])
             for key, a, b in zip(keys, firsts, [*firsts[1:], len(values)]):
                 held.setdefault(key, Sketch(k, seed)).add(values[a:b])
-            return sum(len(x) for s in held.values() for x in s.levels)
+            return SKETCH_VALUES * len(held) + sum(len(x) for s in held.values() for x in s.levels)
 
         def flush() -> pa.RecordBatch:
             columns = [pa.array([key[i] for key in held], type=waiting[0].schema.field(g).type) for i, g in enumerate(names)]

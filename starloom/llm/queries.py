@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from starloom.functions.sizes import broadcast_if_small, by_key
 from starloom.functions.transforms import strip
 from starloom.llm import answers, cutoffs, languages, mixing, quantiles, skeleton, tokens, truncation
-from starloom.llm.sqltext import split_answer
 from starloom.session import read_table
 
 FRACTIONS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -45,16 +44,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective answers with their type of defect."""
     records = read_table(spark, sf_dir, "evaluation_records")
     samples = languages.collect_samples(read_table(spark, sf_dir, "language_samples"), "language", "sample_text")
-    # prompts with their right label; at most 4,000 of them are fitted
-    prompts = records.filter(F.col("lang").isin(list(samples)) & F.col("question").isNotNull()).select("lang", "question").distinct().orderBy(F.xxhash64("question"), "lang").limit(4000)
-    for row in prompts.collect():
-        samples[row["lang"]].append(row["question"])
-    # and prose of at most 4,000 answers, mostly in their prompt's language, so that votes know its words
-    length = F.length(F.coalesce("predicted_sql", F.lit("")))
-    spoken = records.filter(F.col("lang").isin(list(samples)) & (length > 20) & (F.length("raw_output") >= length + 30)).select("lang", "raw_output").distinct().orderBy(F.xxhash64("raw_output"), "lang").limit(4000)
-    for row in spoken.collect():
-        if prose := split_answer(row["raw_output"])[1]:
-            samples[row["lang"]].append(prose)
+    samples = answers.learn(records, "lang", "question", "raw_output", "predicted_sql", samples)
     found = answers.judge(records, "eval_id", "question", "raw_output", "predicted_sql", "run_at", samples, read_table(spark, sf_dir, "schema_columns"))
     return found.select(F.col("id").alias("eval_id"), "defect")
 
@@ -85,7 +75,7 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same per month: daily sketches combined without rereading rows."""
+    """The same per month, from the daily sketches."""
     days = _daily(spark, sf_dir).withColumn("month", F.date_format("day", "yyyy-MM"))
     return quantiles.percentiles(quantiles.merged(days, ["dim", "grp", "month"]), [0.5, 0.95])
 
@@ -190,9 +180,19 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_report, p4_daily, p4_percentiles, p4_months, p4_bound, p5_found, p5_classes, p5_consistent, p6_kept, p6_cutoffs, p7_ids, p7_round_trip, p8_mix, p8_report, p8_shortage, p9_found, p9_report)}
 
-_SIDES = "SELECT 'lang' AS dim, lang AS grp, comet_score AS v FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score) UNION ALL SELECT 'db', db, comet_score FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score)"
+_SIDES = " UNION ALL ".join(f"SELECT '{c}' AS dim, {c} AS grp, comet_score AS v, strftime(scored_at, '%Y-%m') AS month FROM translation_scores WHERE comet_score IS NOT NULL AND NOT isnan(comet_score)" for c in ("lang", "db"))
+
+def _percentiles_sql(groups: str, fractions: list[float]) -> str:
+    """Exact ones; sketches of groups up to k values, as all of scale 0.01 are, hold every value."""
+    names = [f"p{100 * q:g}" for q in fractions]
+    found = ", ".join(f"min(CASE WHEN rn >= {q} * n THEN v END) AS {name}" for q, name in zip(fractions, names))
+    inner = f"SELECT {groups}, v, row_number() OVER (PARTITION BY {groups} ORDER BY v) AS rn, count(*) OVER (PARTITION BY {groups}) AS n FROM s"
+    return f"WITH s AS ({_SIDES}) SELECT {groups}, max(n) AS n, min(v) AS low, max(v) AS high, {found}, 0.0::DOUBLE AS rank_error FROM ({inner}) GROUP BY {groups}"
+
 
 SQL = {
+    "p4_percentiles": _percentiles_sql("dim, grp", FRACTIONS),
+    "p4_months": _percentiles_sql("dim, grp, month", [0.5, 0.95]),
     "p4_bound": f"WITH s AS ({_SIDES}), g AS (SELECT dim, grp, count(*) AS n FROM s GROUP BY dim, grp) SELECT dim, grp, q, n, true AS within FROM g, (SELECT unnest([{', '.join(map(str, FRACTIONS))}])::DOUBLE AS q)",
     "p6_cutoffs": """WITH t AS (SELECT lang, max(target_fraction) AS f FROM keep_targets WHERE lang IS NOT NULL GROUP BY lang),
 s AS (SELECT x.lang, x.comet_score AS v, t.f, row_number() OVER (PARTITION BY x.lang ORDER BY x.comet_score DESC) AS rn, count(*) OVER (PARTITION BY x.lang) AS n
