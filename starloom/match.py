@@ -8,12 +8,13 @@ import uuid
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.dialect import to_spark, tokens
 from starloom.functions.transforms import cell_text
+from starloom.lineage import cut
 
 _CLAUSES = frozenset("select from where group having order limit offset union intersect except on join inner left right full cross natural using fetch window qualify".split())
 _NOT_ALIAS = _CLAUSES | {"as", "and", "or", "set", "values", "when", "then", "else", "end", "asc", "desc", "outer", "lateral"}
@@ -250,7 +251,23 @@ def exact_match(gold: str | None, predicted: str | None) -> int:
 
 @F.pandas_udf(T.IntegerType())
 def exact_match_of(gold: pd.Series, predicted: pd.Series) -> pd.Series:
-    return pd.Series([exact_match(g, p) for g, p in zip(gold, predicted)], dtype="int32")
+    """Statements that repeat in a batch are read once."""
+    seen: dict[str, str] = {}
+
+    def form(sql: str) -> str:
+        if sql not in seen:
+            try:
+                seen[sql] = canonical(sql)
+            except _Unreadable:
+                seen[sql] = ""
+        return seen[sql]
+
+    def one(g: str | None, p: str | None) -> int:
+        if not (p or "").strip() or not (g or "").strip():
+            return 0
+        return int(form(g) == form(p)) if form(g) and form(p) else int(plain_text(g) == plain_text(p))
+
+    return pd.Series([one(g, p) for g, p in zip(gold, predicted)], dtype="int32")
 
 
 def ordered(gold_sql: str) -> bool:
@@ -263,28 +280,33 @@ def _cells(df: DataFrame, text: bool) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
 
 
+def _kept(df: DataFrame, text: bool) -> DataFrame:
+    """The cells of a result, written once, with a number that grows in the order in which the query gives its rows."""
+    return cut(_cells(df, text).withColumn("_m", F.monotonically_increasing_id()))
+
+
+def _same(gold: DataFrame, predicted: DataFrame) -> bool:
+    both = gold.withColumn("_n", F.lit(1)).union(predicted.withColumn("_n", F.lit(-1)))
+    return both.groupBy(*[c for c in both.columns if c != "_n"]).agg(F.sum("_n").alias("d")).filter("d <> 0").isEmpty()
+
+
+def positions(kept: DataFrame) -> DataFrame:
+    """Rows with their place `_i` in the result, from 0: the place in a partition after the rows of the partitions before it."""
+    part = F.shiftright("_m", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_here"))  # one row a partition
+    offsets = counts.select("_part", F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"))
+    return kept.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("_i", F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_m")
+
+
 def same_rows(gold: DataFrame, predicted: DataFrame, text: bool = True) -> bool:
     """Multiset equality by position of the columns, decided in the cluster: each distinct row's counts are compared in one shuffle."""
-    if len(gold.columns) != len(predicted.columns):
-        return False
-    a, b = _cells(gold, text).withColumn("_n", F.lit(1)), _cells(predicted, text).withColumn("_n", F.lit(-1))
-    keys = [c for c in a.columns if c != "_n"]
-    return a.union(b).groupBy(*keys).agg(F.sum("_n").alias("d")).filter("d <> 0").isEmpty()
+    return len(gold.columns) == len(predicted.columns) and _same(_cells(gold, text), _cells(predicted, text))
 
 
 def same_sequence(gold: DataFrame, predicted: DataFrame, text: bool = True) -> bool:
     """Equality row by row, in the order in which the queries give them."""
-    if len(gold.columns) != len(predicted.columns):
-        return False
-
-    def numbered(df: DataFrame, sign: int) -> DataFrame:
-        # zipWithIndex keeps the order of a sorted result; nothing is collected
-        rows = _cells(df, text)
-        schema = T.StructType([T.StructField("_i", T.LongType()), *rows.schema.fields])
-        return df.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), schema).withColumn("_n", F.lit(sign))
-
-    both = numbered(gold, 1).union(numbered(predicted, -1))
-    return both.groupBy(*[c for c in both.columns if c != "_n"]).agg(F.sum("_n").alias("d")).filter("d <> 0").isEmpty()
+    return len(gold.columns) == len(predicted.columns) and _same(positions(_kept(gold, text)), positions(_kept(predicted, text)))
 
 
 @dataclass
@@ -308,22 +330,24 @@ def with_timeout(spark: SparkSession, seconds: float, action):
 
 
 def execution_match(spark: SparkSession, gold_sql: str, predicted_sql: str | None, seconds: float = 5.0, text: bool = True) -> Outcome:
-    """Runs both statements and compares their results."""
+    """Runs both statements, each within `seconds` of its own and with its own errors, and compares the results they wrote."""
     if not (predicted_sql or "").strip():
         return Outcome(0, "Empty prediction")
-    runs = {}
+    kept = {}
     for name, sql in (("Gold", gold_sql), ("Pred", predicted_sql)):
         try:
-            runs[name] = spark.sql(to_spark(sql or ""))
-            runs[name].schema  # noqa: B018 - analysis errors show here
+            df = spark.sql(to_spark(sql or ""))
+            kept[name] = with_timeout(spark, seconds, lambda df=df: _kept(df, text))
         except Exception as error:  # noqa: BLE001 - the message is the result
             return Outcome(0, f"{name} SQL Error: {str(error).splitlines()[0]}")
-    compare = same_sequence if ordered(gold_sql) else same_rows
-    try:
-        same = with_timeout(spark, 2 * seconds, lambda: compare(runs["Gold"], runs["Pred"], text))
-    except Exception as error:  # noqa: BLE001
-        return Outcome(0, f"Pred SQL Error: {str(error).splitlines()[0]}")
-    return Outcome(int(same), None if same else f"Mismatch (Order matters: {ordered(gold_sql)})")
+    gold, predicted, in_order = kept["Gold"], kept["Pred"], ordered(gold_sql)
+    if len(gold.columns) != len(predicted.columns):
+        same = False
+    elif in_order:
+        same = _same(positions(gold), positions(predicted))
+    else:
+        same = _same(gold.drop("_m"), predicted.drop("_m"))
+    return Outcome(int(same), None if same else f"Mismatch (Order matters: {in_order})")
 
 
 def plan_match(spark: SparkSession, gold_sql: str, predicted_sql: str) -> bool:
@@ -332,5 +356,7 @@ def plan_match(spark: SparkSession, gold_sql: str, predicted_sql: str) -> bool:
 
 
 def rescored(df: DataFrame, gold: Column, predicted: Column) -> DataFrame:
-    """Evaluation rows with `em_new`, the exact match as computed here."""
-    return df.withColumn("em_new", exact_match_of(F.coalesce(gold, F.lit("")), F.coalesce(predicted, F.lit(""))))
+    """Evaluation rows with `em_new`, the exact match as computed here: equal texts agree at once, and only the others are brought to canonical form."""
+    g, p = F.coalesce(gold, F.lit("")), F.coalesce(predicted, F.lit(""))
+    known = F.when((F.btrim(p) == "") | (F.btrim(g) == ""), F.lit(0)).when(g == p, F.lit(1))
+    return df.withColumn("em_new", F.coalesce(known, exact_match_of(F.when(known.isNull(), g), F.when(known.isNull(), p))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.operators.ordered import exact_quantiles
+
 
 def summarize_files(rows: DataFrame, by: list[str], new_em: str = "em_new") -> DataFrame:
     """Per file: rows, means of the old and new exact match and of the execution match, and how many exact matches changed."""
@@ -32,7 +34,7 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def sample_keys(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """n keys in the order of a seeded hash: the same ones wherever the key occurs."""
-    return df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)
 
 
 def with_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -55,9 +57,11 @@ def usable(df: DataFrame, lang: str = "lang", score: str = "comet_score") -> Dat
     return df.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(lang).isNotNull() & (F.lower(lang) != "unknown"))
 
 
-def percentile_audit(df: DataFrame, lang: str, score: str, share: float = 0.2, accuracy: int = 10_000) -> DataFrame:
-    """Per language: n, mean, population deviation and the `share` quantile tau (linear between neighbours)."""
-    return df.groupBy(lang).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.percentile(score, share).alias("tau"))
+def percentile_audit(df: DataFrame, lang: str, score: str, share: float = 0.2) -> DataFrame:
+    """Per language: n, mean, population deviation and the `share` quantile tau (linear between neighbours; exact, and no task holds a language's scores)."""
+    per = df.groupBy(lang).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    taus = exact_quantiles(df, lang, score, share, "tau").select(F.col(lang).alias("_l"), "tau")
+    return per.join(taus, F.col(lang).eqNullSafe(F.col("_l")), "left").drop("_l")
 
 
 def flagged(df: DataFrame, audit: DataFrame, lang: str, score: str) -> DataFrame:
@@ -67,9 +71,10 @@ def flagged(df: DataFrame, audit: DataFrame, lang: str, score: str) -> DataFrame
 
 
 def histogram(df: DataFrame, score: str, low: float, high: float, bins: int = 30) -> DataFrame:
-    """(bin, n) over equal widths; the last bin includes `high`."""
-    b = F.least(F.floor((F.col(score) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
-    return df.filter(F.col(score).between(low, high)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+    """(bin, n) over equal widths; the last bin includes `high`, bin -1 counts the scores below `low` and bin `bins` those above `high`."""
+    inside = F.least(F.floor((F.col(score) - low) / ((high - low) / bins)), F.lit(bins - 1))
+    b = F.when(F.col(score) < low, F.lit(-1)).when(F.col(score) > high, F.lit(bins)).otherwise(inside).cast("int")
+    return df.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def sensitivity(df: DataFrame, score: str, first: float = 0.5, step: float = 0.05, steps: int = 31) -> DataFrame:

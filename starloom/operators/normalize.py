@@ -56,14 +56,37 @@ def _attach_parents(rows: DataFrame, t: TableSpec) -> tuple[DataFrame, dict[str,
     return rows, names
 
 
-def split(wide: DataFrame, spec: StarSpec, strict_reference: bool = False) -> dict[str, DataFrame]:
-    """The tables of the star. `wide` has text cells and `_pos`; tables are built in the order of the specification.
+def _numbered(first: DataFrame, order: str, out: str, small: int = 100_000) -> DataFrame:
+    """Rows written once, with numbers 1.. in the order of `order`: up to `small` of them, counted, in one sort, more by ranges."""
+    kept = cut(first)
+    if kept.count() > small:
+        return cut(dense_numbers(kept, [order], out))
+    return kept.withColumn(out, F.row_number().over(Window.orderBy(order)).cast("long"))
+
+
+def _needed(spec: StarSpec, only: set[str] | None) -> set[str]:
+    """The asked tables and what they refer to."""
+    tables = {t.name: t for t in (*spec.dimensions, *spec.facts)}
+    left, out = list(only if only is not None else tables), set()
+    while left:
+        name = left.pop()
+        if name in tables and name not in out:
+            out.add(name)
+            left += [f.references for f in tables[name].foreign_keys]
+    return out
+
 
-    `strict_reference` leaves a dimension's derived columns out, as computed but unwritten; by default they are written.
+def split(wide: DataFrame, spec: StarSpec, strict_reference: bool = False, only: set[str] | None = None) -> dict[str, DataFrame]:
+    """The tables of the star, or those of `only` and what they refer to. `wide` has text cells and `_pos`; tables are built in the order of the specification.
+
+    `strict_reference` leaves a dimension's derived columns out, as computed but unwritten; by default they are written. A fact without rows has no table.
     """
     rows = cut(clean_rows(wide, spec))  # one scan feeds all tables
     out: dict[str, DataFrame] = {}
+    needed = _needed(spec, only)
     for t in spec.dimensions:
+        if t.name not in needed:
+            continue
         rows, parents = _attach_parents(rows, t)
         keyed = rows.withColumn("_key", struct_key(_key_columns(t, parents)))
         cells = [transformed(F.col(f"_c{c.source_index}"), c.transform).alias(c.target) for c in t.columns]
@@ -72,20 +95,22 @@ def split(wide: DataFrame, spec: StarSpec, strict_reference: bool = False) -> di
         refs = [F.col(parents[f.column]).alias(f.column) for f in t.foreign_keys]
         natural = transformed(F.col(f"_c{t.key_source_index}"), t.key_transform) if t.key_source_index is not None else F.lit(None).cast("string")
         first = keyed.groupBy("_key").agg(F.min("_pos").alias("_first"), F.min_by(F.struct(natural.alias("_natural"), *refs, *cells), "_pos").alias("_row"))
-        numbered = cut(dense_numbers(first, ["_first"], "_id"))
+        numbered = _numbered(first, "_first", "_id")
         key = F.when(is_valid(F.col("_row._natural")), F.col("_row._natural")).otherwise(F.col("_id").cast("string"))
         table = numbered.withColumn(t.key, key)
         out[t.name] = table.select(t.key, *[f"_row.{f.column}" for f in t.foreign_keys], *[F.col(f"_row.{c.target}") for c in t.columns if c.target != t.key], *([] if strict_reference else [F.col(f"_row.{c.target}") for c in t.derived_columns]))
         ids = broadcast_if_small(table.select("_key", F.col(t.key).alias(f"_k_{t.name}")))
         rows = keyed.drop(f"_k_{t.name}").join(ids, "_key", "left").drop("_key")
     for t in spec.facts:
+        if t.name not in needed or rows.isEmpty():
+            continue
         shared = next((f for f in t.foreign_keys if f.column == t.key), None)
         numbered = rows.withColumn("_id", F.col(f"_k_{shared.references}")) if shared else dense_numbers(rows, ["_pos"], "_id").withColumn("_id", F.col("_id").cast("string"))
         have = set(numbered.columns)
         refs = [(F.col(f"_k_{f.references}") if f"_k_{f.references}" in have else F.lit(None).cast("string")).alias(f.column) for f in t.foreign_keys if f is not shared]
         cells = [transformed(F.col(f"_c{c.source_index}"), c.transform).alias(c.target) for c in t.columns]
         out[t.name] = numbered.select(F.col("_id").alias(t.key), *refs, *cells, *[_derived(t, c) for c in t.derived_columns])
-    return out
+    return {name: table for name, table in out.items() if only is None or name in only}
 
 
 def _derived(t: TableSpec, c) -> Column:
@@ -115,8 +140,7 @@ def unpivot(df: DataFrame, ids: list[str], measures: list[str], name: str, value
 def hierarchy(df: DataFrame, key: str, parent: str, often: int = 20) -> DataFrame:
     """(`key`, `root`, `level`) of a self-referencing table of any depth; a dangling parent starts a tree of its own.
 
-    Every `often` levels the last one is checkpointed. Nodes on a cycle, and below one, hang on no root and raise no row; a cycle that a
-    repeated key hangs on a root is an error.
+    Every `often` levels the last one is checkpointed. A cycle is an error, whether its nodes hang on no root or a repeated key hangs them on one.
     """
     nodes = df.select(F.col(key).alias("k"), F.col(parent).alias("p"))
     keys = nodes.select(F.col("k").alias("pk"))
@@ -132,4 +156,7 @@ def hierarchy(df: DataFrame, key: str, parent: str, often: int = 20) -> DataFram
         if depth % often == 0 and depth > keys.distinct().count():
             raise ValueError("a cycle below a root")
         found.append(level)
-    return reduce(DataFrame.unionByName, found).select(F.col("k").alias(key), "root", "level")
+    out = cut(reduce(DataFrame.unionByName, found)).select(F.col("k").alias(key), "root", "level")
+    if not nodes.join(out.select(F.col(key).alias("_k")), F.col("k") == F.col("_k"), "left_anti").filter("k is not null").isEmpty():
+        raise ValueError("a cycle without a root")
+    return out

@@ -88,7 +88,7 @@ def infer_type(name: str, facts: ColumnFacts) -> str:
             return "DOUBLE PRECISION"
         if facts.largest is not None and facts.largest <= 1 and not facts.negative:
             return "SMALLINT"
-        if facts.largest is not None and 1900 <= facts.largest <= 2100:
+        if facts.largest is not None and 1900 <= facts.largest <= 2100 and not facts.negative:
             return "INTEGER"
         return "DOUBLE PRECISION" if any(w in name.lower() for w in DECIMAL_WORDS) else "BIGINT"
     return "DATE" if facts.dates else varchar(facts.longest)

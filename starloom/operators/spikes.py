@@ -18,13 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.functions.sizes import broadcast_if_small, by_key
 from starloom.lineage import cut
-from starloom.operators.ordered import with_halo, with_positions
+from starloom.operators.ordered import exact_quantiles, with_halo, with_positions
 
 MAD_SCALE = 1.4826
 
@@ -45,19 +45,6 @@ class SpikeSpec:
     chunk: int = 4096  # sqrt(2 ln chunk) must stay below `scatters`
 
 
-def exact_medians(rows: DataFrame, source: str, value: str, out: str) -> DataFrame:
-    """(`source`, `n`, `out`): rows and mean of the lower and upper median, from counts per source and value and prefix sums over range partitions."""
-    counts = rows.groupBy(source, F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
-    ranged = cut(counts.repartitionByRange(source, "_x").sortWithinPartitions(source, "_x").withColumn("_part", F.spark_partition_id()))
-    per = ranged.groupBy("_part", source).agg(F.sum("_c").alias("_here"))  # one row a partition and source
-    before = Window.partitionBy(source).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = per.select("_part", source, F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"), F.sum("_here").over(Window.partitionBy(source)).alias("n"))
-    inside = Window.partitionBy("_part", source).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    upto = ranged.withColumn("_in", F.sum("_c").over(inside)).join(placed, ["_part", source]).withColumn("_upto", F.col("_before") + F.col("_in"))
-    middle = [F.min(F.when(2 * F.col("_upto") >= F.col("n") + more, F.col("_x"))) for more in (0, 1)]
-    return upto.groupBy(source).agg(F.first("n").alias("n"), ((middle[0] + middle[1]) / 2).alias(out))
-
-
 def readings(df: DataFrame, spec: SpikeSpec) -> DataFrame:
     """One row per id: `_id`, `_src`, `_o0..`, `_v`; first delivery wins; null readings are left out."""
     order = [F.col(c).cast("long").alias(f"_o{i}") for i, c in enumerate(spec.order)]
@@ -79,9 +66,9 @@ def _log(v: Column) -> Column:
 def usual(rows: DataFrame, spec: SpikeSpec) -> DataFrame:
     """(`_src`, `n`, `level`, `scatter`) of the plausible readings of sources of any size."""
     base = rows.filter(~_impossible(spec)).select("_src", _log(F.col("_v")).alias("_u"))
-    level = cut(exact_medians(base, "_src", "_u", "level"))
+    level = cut(exact_quantiles(base, "_src", "_u", 0.5, "level"))
     away = base.join(broadcast_if_small(level.select("_src", "level")), "_src").select("_src", F.abs(F.col("_u") - F.col("level")).alias("_away"))
-    scatter = exact_medians(away, "_src", "_away", "scatter").select("_src", (MAD_SCALE * F.col("scatter")).alias("scatter"))
+    scatter = exact_quantiles(away, "_src", "_away", 0.5, "scatter").select("_src", (MAD_SCALE * F.col("scatter")).alias("scatter"))
     return level.join(scatter, "_src")
 
 

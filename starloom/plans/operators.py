@@ -112,16 +112,16 @@ def _wide(spark, sf_dir) -> DataFrame:
 
 
 def dim_dedup_surrogate(spark, sf_dir):
-    out = normalize.split(_wide(spark, sf_dir), STAR)["DIM_NATION"]
+    out = normalize.split(_wide(spark, sf_dir), STAR, only={"DIM_NATION"})["DIM_NATION"]
     return out.select(F.col("NATION_ID").cast("bigint").alias("nation_id"), F.col("REGION_ID").cast("bigint").alias("region_id"), F.col("NATION").alias("nation"))
 
 
 def dim_natural_key(spark, sf_dir):
-    return normalize.split(_wide(spark, sf_dir), STAR)["DIM_TIME"].select(F.col("YEAR").cast("bigint").alias("year")).distinct()
+    return normalize.split(_wide(spark, sf_dir), STAR, only={"DIM_TIME"})["DIM_TIME"].select(F.col("YEAR").cast("bigint").alias("year"))
 
 
 def fact_fk_resolution(spark, sf_dir):
-    out = normalize.split(_wide(spark, sf_dir), STAR)["FACT_ORDER"]
+    out = normalize.split(_wide(spark, sf_dir), STAR, only={"FACT_ORDER"})["FACT_ORDER"]
     return out.select(*[F.col(c).cast("bigint").alias(c.lower()) for c in ("FACT_ORDER_ID", "NATION_ID", "YEAR", "SEGMENT_ID")], F.col("STATUS").alias("status"), F.col("PRICE").cast("double").alias("price"))
 
 
@@ -400,7 +400,7 @@ SQL = {
     "score_means": f"WITH {_S} SELECT lang, round(avg(comet_score), 9) AS mean, count(*) AS n FROM s GROUP BY lang",
     "percentile_tau_audit": f"WITH {_S} SELECT lang, count(*) AS n, round(avg(comet_score), 9) AS mean, round(stddev_pop(comet_score), 9) AS std, round(quantile_cont(comet_score, 0.2), 9) AS tau FROM s GROUP BY lang",
     "review_rows": f"WITH {_S}, a AS (SELECT lang, quantile_cont(comet_score, 0.2) AS tau FROM s GROUP BY lang) SELECT s.lang, count(*) AS flagged FROM s JOIN a ON s.lang = a.lang AND comet_score <= tau GROUP BY 1",
-    "score_histogram": f"WITH {_S} SELECT CAST(least(floor((comet_score - 0.0) / ((1.0 - 0.0) / 30)::DOUBLE), 29) AS INTEGER) AS bin, count(*) AS n FROM s WHERE comet_score BETWEEN 0 AND 1 GROUP BY 1",
+    "score_histogram": f"WITH {_S} SELECT CASE WHEN comet_score < 0 THEN -1 WHEN comet_score > 1 THEN 30 ELSE CAST(least(floor((comet_score - 0.0) / ((1.0 - 0.0) / 30)::DOUBLE), 29) AS INTEGER) END AS bin, count(*) AS n FROM s GROUP BY 1",
     "threshold_sensitivity": f"WITH {_S}, {_GRID} SELECT k, round(tau, 9) AS tau, flagged, round(flagged / n, 9) AS rate FROM sens",
     "knee_point": f"WITH {_S}, {_GRID}, r AS (SELECT k, flagged / n AS rate FROM sens), u AS (SELECT k, rate, (k - 0.5) / 1.5 AS x, (rate - min(rate) OVER ()) / (max(rate) OVER () - min(rate) OVER ()) AS y FROM r), ends AS (SELECT arg_min(x, k) AS x0, arg_min(y, k) AS y0, arg_max(x, k) AS x1, arg_max(y, k) AS y1 FROM u) SELECT k, round(rate, 9) AS rate, round(d, 9) AS distance FROM (SELECT k, rate, abs((y1 - y0) * (x - x0) - (x1 - x0) * (y - y0)) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS d FROM u, ends) ORDER BY round(d, 12) DESC, k LIMIT 1",
     "threshold_rates": f"WITH {_S} SELECT lang, count(*) AS n, round(avg(CASE WHEN comet_score <= 0.5 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS strict, round(avg(CASE WHEN comet_score <= 0.7 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS lenient FROM s GROUP BY lang",

@@ -77,7 +77,7 @@ FROM {STAR} JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY r.r_name ORD
     "order_expression": "SELECT n_name, n_regionkey FROM nation ORDER BY n_regionkey * 100 + n_nationkey DESC LIMIT 10",
     "limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5 OFFSET 10",
     "fetch_first": "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey FETCH FIRST 7 ROWS ONLY",
-    "null_order": "SELECT k, v FROM (SELECT c_custkey AS k, nullif(c_nationkey, 3) AS v FROM customer WHERE c_custkey <= 200) q ORDER BY v NULLS LAST, k LIMIT 50",
+    "null_order": "SELECT k, v, cast(row_number() OVER (ORDER BY v NULLS LAST, k) AS bigint) AS last_place, cast(row_number() OVER (ORDER BY v DESC NULLS FIRST, k) AS bigint) AS first_place FROM (SELECT c_custkey AS k, nullif(c_nationkey, 3) AS v FROM customer) q",
     # scalar functions and predicates
     "arithmetic": "SELECT o_orderkey, round(cast(o_totalprice * 100.0 / 4.0 AS double precision), 2) AS x FROM orders WHERE o_totalprice - 1000 > 350000",
     "case_simple": "SELECT CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'part' END AS status, count(*) AS n FROM orders GROUP BY 1",

@@ -140,7 +140,9 @@ def write_ddl_csv(schema: SchemaInfo, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A small result as a Markdown table (the first `most` rows)."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; more than `most` rows are an error, as nothing is left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]])

@@ -80,9 +80,11 @@ def test_hierarchy_and_unpivot(spark):
 
 
 def test_hierarchy_of_any_depth(spark):
-    """A chain of 25 levels under one root, and a cycle with a node below it."""
-    h = spark.createDataFrame([(1, None), *((i, i - 1) for i in range(2, 26)), (50, 51), (51, 50), (52, 51)], "k int, p int")
-    assert sorted(map(tuple, normalize.hierarchy(h, "k", "p").collect())) == [(i, 1, i) for i in range(1, 26)]
+    """A chain of 50 levels under one root; a cycle with a node below it is an error, and so is one that a repeated key hangs on a root."""
+    chain = [(1, None), *((i, i - 1) for i in range(2, 51))]
+    assert sorted(map(tuple, normalize.hierarchy(spark.createDataFrame(chain, "k int, p int"), "k", "p").collect())) == [(i, 1, i) for i in range(1, 51)]
+    with pytest.raises(ValueError):
+        normalize.hierarchy(spark.createDataFrame([*chain[:3], (60, 61), (61, 60), (62, 61)], "k int, p int"), "k", "p")
     with pytest.raises(ValueError):
         normalize.hierarchy(spark.createDataFrame([(1, None), (1, 2), (2, 1)], "k int, p int"), "k", "p", often=3)
 

@@ -48,4 +48,13 @@ def test_statement_in_prose(spark):
     assert statement("SQL: SELECT a FROM t; more") == "SELECT a FROM t"
     assert statement("SELECT a FROM (\nvalues x\n) q\nThis is it.") == "SELECT a FROM (\nvalues x\n) q"
     assert statement("With pleasure, no.") is None and statement("") is None
+    assert statement("Answer: SELECT a FROM t") == "SELECT a FROM t"
+    assert statement("The SQL query that answers this is SELECT t.a FROM t. It counts rows.") == "SELECT t.a FROM t"
+    assert statement("the sql query is select a from t where b = 'x. Y'") == "select a from t where b = 'x. Y'"
+    assert statement("You could use `select 1.5 from t` here.") == "select 1.5 from t"
+    assert statement("First ```sql\nWITH y AS (SELECT 1)\nSELECT * FROM y\n``` then ```SELECT 2```") == "WITH y AS (SELECT 1)\nSELECT * FROM y"
+    assert statement("SELECT a,\nb\nFROM t\nExplanation: none") == "SELECT a,\nb\nFROM t"
+    assert statement("SELECT a FROM t WHERE x > 1 Note: all") == "SELECT a FROM t WHERE x > 1"
+    assert statement("Please select the rows from the list.") is None
+    assert json_object('```\n{"a": 1}\n```\nor\n```json\n{"a": 5}') == {"a": 5}
     assert spark.createDataFrame([("SELECT 1",), (None,)], "t string").select(statement_of("t")).first()[0] == "SELECT 1"

@@ -7,7 +7,8 @@ from dataclasses import replace
 
 import numpy as np
 
-from starloom.operators.spikes import SpikeSpec, exact_medians, implausible, phase_space, readings, usual
+from starloom.operators.ordered import exact_quantiles
+from starloom.operators.spikes import SpikeSpec, implausible, phase_space, readings, usual
 
 SHAPE = "fact_coliforms_id long, station_id long, year int, sample_seq int, max_fecal_coliform_mpn_per_100ml double, loaded_at string, _v double, u string, n int"
 
@@ -73,7 +74,7 @@ def test_agrees_with_plain_version_over_chunk_borders(spark):
 
 def test_level_and_scatter_are_exact_in_sources_of_any_size(spark):
     rows = [(i, i % 3, round(random.Random(i).gauss(3, 1), 6)) for i in range(1501)]
-    got_ = exact_medians(spark.createDataFrame(rows, "i long, s int, x double").repartition(5), "s", "x", "m").collect()
+    got_ = exact_quantiles(spark.createDataFrame(rows, "i long, s int, x double").repartition(5), "s", "x", 0.5, "m").collect()
     assert sorted(map(tuple, got_)) == [(s, len(v), statistics.median(v)) for s in range(3) for v in [[x for _, k, x in rows if k == s]]]
     readings_ = series(3)
     found = usual(readings(spark.createDataFrame(readings_, SHAPE), SpikeSpec()).filter("_src is not null"), SpikeSpec()).collect()
