@@ -87,10 +87,53 @@ def create_table(table: TableInfo) -> str:
     return f"DROP TABLE IF EXISTS {table.name} CASCADE;\nCREATE TABLE {table.name} (\n" + ",\n".join(lines) + "\n);"
 
 
+def create_database(spark: SparkSession, name: str) -> bool:
+    """Whether the database (in lower case) was made now; one that is there is left as it is."""
+    if spark.catalog.databaseExists(name.lower()):
+        return False
+    spark.sql(f"CREATE DATABASE `{name.lower()}`")
+    return True
+
+
+def create_tables(spark: SparkSession, folder: str, database: str | None = None, dry_run: bool = False) -> dict[str, list[str]]:
+    """The tables of every DDL.csv below `folder`, in a database named like its folder unless one is given; `dry_run` only lists them."""
+    from starloom.sources.tables import ddl_csv
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "DDL.csv").load(folder).select("path").orderBy("path").collect()
+    out: dict[str, list[str]] = {}
+    for (path,) in files:
+        name = (database or path.split("/")[-2]).lower()
+        for t in ddl_csv(path, name).tables.values():
+            if not dry_run:
+                create_spark_table(spark, name, t)
+            out.setdefault(name, []).append(t.name.lower())
+    return out
+
+
+def from_spark(spark: SparkSession, database: str) -> SchemaInfo:
+    """Tables and columns, in order, of one of Spark's databases; keys and references stay those of the registry, as Spark holds none."""
+    tables = {}
+    for t in spark.catalog.listTables(database):
+        if t.isTemporary:
+            continue  # of the session, not of the database
+        found = spark.catalog.listColumns(f"{database}.{t.name}")
+        tables[t.name] = TableInfo(t.name, [(c.name, c.dataType) for c in found], description=t.description or "")
+    return SchemaInfo(database, tables)
+
+
+def distinct_places(tables: dict[str, DataFrame], columns: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(`level`, `n`): distinct given values of each administrative level over all tables that have one of its columns."""
+    parts = []
+    for level, names in columns.items():
+        for df in tables.values():
+            parts += [df.select(F.lit(level).alias("level"), F.upper(F.trim(F.col(c).cast("string"))).alias("v")) for c in df.columns if c.lower() in names]
+    return reduce(DataFrame.unionByName, parts).filter("v <> ''").groupBy("level").agg(F.count_distinct("v").alias("n"))
+
+
 def create_spark_table(spark: SparkSession, database: str, table: TableInfo) -> None:
     """The table in Spark's catalog (database and table in lower case); constraints stay in the registry."""
     db = database.lower()
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
+    create_database(spark, db)
     spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{table.name.lower()}`")
     columns = ", ".join(f"`{n.lower()}` {spark_type(k)}" for n, k in table.columns)
     spark.sql(f"CREATE TABLE `{db}`.`{table.name.lower()}` ({columns}) USING parquet")

@@ -19,9 +19,9 @@ def register_folder(spark: SparkSession, folder: str) -> list[str]:
 
 
 def answer(spark: SparkSession, line: str, rows: int = 20) -> str:
-    """The text of one command: databases, tables, use NAME, or a statement."""
+    """The text of one command: databases or schemas, tables, use NAME, or a statement."""
     word, _, rest = line.strip().rstrip(";").partition(" ")
-    if word == "databases":
+    if word in ("databases", "schemas"):
         return "\n".join(d.name for d in spark.catalog.listDatabases())
     if word == "tables":
         return "\n".join(t.name for t in spark.catalog.listTables())

@@ -38,6 +38,22 @@ def any_given(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, (strip(text_of(c)) != "" for c in columns), F.lit(False))
 
 
+def present(df: DataFrame, required: list[str], header: tuple[str, str] | None = None, least_cells: int = 0) -> DataFrame:
+    """Rows that hold all `required` cells and `least_cells` given ones, without repeated header rows (`header`: a column and the text it has there)."""
+    keep = reduce(lambda a, b: a & b, (strip(text_of(F.col(c))) != "" for c in required), F.lit(True))
+    if header:
+        keep &= strip(text_of(F.col(header[0]))) != header[1]
+    if least_cells:
+        keep &= reduce(lambda a, b: a + b, (F.col(c).isNotNull().cast("int") for c in df.columns)) >= least_cells
+    return df.filter(keep)
+
+
+def first_distinct(values: Column, most: int | None = None) -> Column:
+    """Distinct elements in the order in which they come first, `most` of them at most; null has none."""
+    seen = F.array_distinct(values)
+    return seen if most is None else F.slice(seen, 1, most)
+
+
 def extract_year(c: Column) -> Column:
     """The first four digits in a row, else ''."""
     return F.regexp_extract(text_of(c), r"(\d{4})", 1)
@@ -121,6 +137,13 @@ def lookup(c: Column, values: Mapping[str, str], default: str | None = None) ->
     return F.coalesce(F.try_element_at(pairs, c), F.lit(default) if default is not None else c)
 
 
+def lookup_fields(c: Column, values: Mapping[str, tuple[str, ...]], names: tuple[str, ...], default: tuple[str, ...]) -> Column:
+    """Several fields by one key, as a struct with `names`: a small fixed map of tuples, and a default tuple for keys it lacks."""
+    pick = lambda fields: F.struct(*[F.lit(x).alias(n) for n, x in zip(names, fields, strict=True)])
+    pairs = F.create_map(*[x for key, fields in values.items() for x in (F.lit(key), pick(fields))])
+    return F.coalesce(F.try_element_at(pairs, c), pick(default))
+
+
 def fiscal_time(year: Column) -> dict[str, Column]:
     """Parts of the fiscal year that starts in `year` (a number)."""
     y = year.cast("int")

@@ -45,6 +45,14 @@ def source_with_translation(source: DataFrame, translated: DataFrame, key: list[
     return source.join(translated, key)
 
 
+def with_evidence(df: DataFrame, evidence: DataFrame, key: str, required: bool = False) -> DataFrame:
+    """Rows with the `evidence` of their key, null if there is none or it is unusable; with `required`, only rows that have one."""
+    from starloom.operators.retrieval import usable_evidence
+
+    known = evidence.filter(usable_evidence(F.col("evidence"))).select(F.col(key).alias("_k"), "evidence")
+    return df.join(known, F.col(key) == F.col("_k"), "inner" if required else "left").drop("_k")
+
+
 def zip_by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
     """Rows of equal position; positions are dense numbers of each side's order."""
     from starloom.operators.normalize import dense_numbers

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import difflib
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,6 +103,13 @@ def infer_from_name(name: str) -> str:
     return "VARCHAR(255)"
 
 
+def name_type(c: Column) -> Column:
+    """infer_from_name for a column of names."""
+    low = F.lower(c)
+    any_of = lambda words: reduce(lambda a, b: a | b, (low.contains(w) for w in words))
+    return F.when(low.endswith("_id") | (low == "id"), "BIGINT").when(low.contains("year"), "INTEGER").when(any_of(FLAGS), "SMALLINT").when(any_of(MONEY), "DOUBLE PRECISION").otherwise("VARCHAR(255)")
+
+
 def key_type(name: str) -> str:
     return "INTEGER" if is_year(name) else "BIGINT"
 
@@ -184,6 +192,12 @@ def keep_all_columns(columns_by_table: dict[str, list[str]]) -> bool:
     return bool(counts) and sum(counts) / len(counts) <= 6 and sum(counts) <= 30
 
 
+def prune_decisions(columns: DataFrame, database: str, table: str) -> DataFrame:
+    """(`database`, `columns`, `keep_all`) of every database, from one row a column: `keep_all_columns` in the cluster."""
+    per = columns.groupBy(database).agg(F.count("*").alias("columns"), F.count_distinct(table).alias("_tables"))
+    return per.select(database, "columns", ((F.col("columns") / F.col("_tables") <= 6) & (F.col("columns") <= 30)).alias("keep_all"))
+
+
 def merge_selection(columns: dict[str, list[str]], chosen: dict[str, list[str] | str], keys: dict[str, list[str]]) -> dict[str, list[str]]:
     """keep_all, drop_all or a list of columns per table; keys stay, unknown names go."""
     out = {}

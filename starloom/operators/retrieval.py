@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starloom.functions.sizes import broadcast_if_small
 from starloom.functions.transforms import ascii_tokens, bigrams, unicode_tokens, word_list
@@ -35,6 +39,10 @@ DOMAIN_WORDS = (
 )
 
 
+class Encoder(Protocol):
+    def encode(self, text: str) -> list[float]: ...
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if both are empty."""
     union = F.size(F.array_union(a, b))
@@ -70,8 +78,34 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def similarity(df: DataFrame, a: str, b: str, out: str, make_encoder: Callable[[], Encoder] | None = None, strict_reference: bool = False) -> DataFrame:
+    """Cosine of the two texts' vectors; where no encoder can be made or it fails on a row, their lexical similarity."""
+    scored = df.withColumn(out, lexical(a, b, strict_reference))
+    if make_encoder is None:
+        return scored
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            encoder = make_encoder()
+        except Exception:  # noqa: BLE001 - any failure means the lexical score
+            encoder = None
+
+        def one(text: str | None):
+            try:
+                return None if text is None or encoder is None else [float(x) for x in encoder.encode(text)]
+            except Exception:  # noqa: BLE001
+                return None
+
+        for part in texts:
+            yield part.map(one)
+
+    both = scored.withColumns({"_va": vectors(F.col(a)), "_vb": vectors(F.col(b))})
+    return both.withColumn(out, F.when(F.col("_va").isNotNull() & F.col("_vb").isNotNull(), cosine(F.col("_va"), F.col("_vb"))).otherwise(F.col(out))).drop("_va", "_vb")
+
+
 def top_k(pairs: DataFrame, by: list[str], score: str, k: int, ties: list[str], least: float | None = None) -> DataFrame:
-    """The k best rows of each group, at or above `least`. Each group's k best come from partial top-k arrays, so no group is sorted whole."""
+    """The k best rows of each group, at or above `least`: a window whose limit Spark applies before the shuffle too, so that each task sends k rows of a group."""
     rows = pairs if least is None else pairs.filter(F.col(score) >= least)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), *ties))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -110,7 +144,7 @@ def usable_evidence(c: Column) -> Column:
 
 def one_shot(pool: DataFrame, db_col: str, target_db: str, id_col: str, seed: int = 7) -> DataFrame:
     """One row of another database, by a seeded hash."""
-    return pool.filter(F.col(db_col) != target_db).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(1)
+    return pool.filter(F.col(db_col) != target_db).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string"))), id_col).limit(1)
 
 
 def schema_values(question: str, columns: list[tuple[str, str]], most: int = 12, values: int = 2) -> list[tuple[str, str, str]]:

@@ -183,12 +183,12 @@ def null_keys(spark, sf_dir):
 
 
 def column_profile(spark, sf_dir):
-    p = _t(spark, sf_dir, "dim_station").select("station_name", "type_of_water_body", "state_id")
-    return profile.profile(p).select("column", "rows", "nulls", "distinct", "longest")
+    return profile.profile(_t(spark, sf_dir, "dim_station").drop("station_code")).select("column", "rows", "nulls", "distinct", "longest")
 
 
 def inferred_types(spark, sf_dir):
-    s = _t(spark, sf_dir, "dim_station").select(*[F.col(c).cast("string") for c in ("station_id", "state_id", "station_code", "station_name")])
+    d = _t(spark, sf_dir, "dim_station")
+    s = d.select(*[F.col(c).cast("string") for c in d.columns])
     return spark.createDataFrame(sorted(profile.infer_types(s).items()), "column string, type string")
 
 
@@ -235,10 +235,12 @@ def ex_match_multiset(spark, sf_dir):
 
 
 def ex_outcomes(spark, sf_dir):
-    """Execution match of five statement pairs."""
-    for t in ("nation", "region"):
+    """Execution match of statement pairs over whole tables."""
+    for t in ("nation", "region", "orders", "customer"):
         _t(spark, sf_dir, t).createOrReplaceTempView(t)
     cases = [
+        ("counts", "SELECT o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, sum(1) FROM orders GROUP BY o_orderstatus"), ("joined", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", "SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey"),
+        ("many", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", "SELECT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey"), ("sorted", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey FROM orders ORDER BY -o_totalprice, o_orderkey"),
         ("same", "SELECT n_name FROM nation", "SELECT n_name FROM nation WHERE true"), ("ordered", "SELECT n_name FROM nation ORDER BY n_name", "SELECT n_name FROM nation ORDER BY n_name DESC"),
         ("unordered", "SELECT n_name FROM nation", "SELECT n_name FROM nation ORDER BY n_name DESC"), ("multiset", "SELECT n_regionkey FROM nation", "SELECT DISTINCT n_regionkey FROM nation"), ("broken", "SELECT n_name FROM nation", "SELECT nope FROM nation"),
     ]
@@ -339,9 +341,9 @@ def diversified_topk(spark, sf_dir):
 
 
 def near_duplicates(spark, sf_dir):
-    """Tasks that repeat an earlier task of the database nearly word for word, in question and statement."""
-    t = _t(spark, sf_dir, "task_records").filter("question is not null and sql is not null").groupBy("task_id").agg(F.min(F.struct("db", "question", "sql")).alias("x")).select("task_id", "x.*")
-    return retrieval.near_duplicates(t, "db", "task_id", "question", "sql").withColumnRenamed("id", "task_id")
+    """Tasks that ask an earlier question of the database again, nearly word for word; statements, which differ in all tasks, are compared by their skeleton's name."""
+    t = _t(spark, sf_dir, "task_records").filter("question is not null and skeleton_id is not null").groupBy("task_id").agg(F.min(F.struct("db", "question")).alias("x")).select("task_id", "x.*")
+    return retrieval.near_duplicates(t, "db", "task_id", "question", "question").withColumnRenamed("id", "task_id")
 
 
 def event_windows(spark, sf_dir):
@@ -364,6 +366,21 @@ _E = "e AS (SELECT DISTINCT eval_id, db, model, lang, em, ex FROM evaluation_rec
 _GRID = "grid AS (SELECT round(0.5 + i * 0.05, 10)::DOUBLE AS k FROM range(31) t(i)), st AS (SELECT avg(comet_score) AS mu, stddev_pop(comet_score) AS sd, count(*) AS n FROM s), sens AS (SELECT k, mu - k * sd AS tau, (SELECT count(*) FROM s WHERE comet_score <= mu - k * sd) AS flagged, n FROM grid, st)"
 _NUM = "CASE WHEN regexp_matches(trim(v), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN CAST(trim(v) AS DOUBLE) END"
 
+_WS = "E' \\t\\n\\r\\f\\x0B'"
+_BARE = f"replace(trim(v, {_WS}), ',', '')"
+#: In these tables no pair of statements is equal by its rules only (aliases, order of conditions), so equal plain texts give the same matches.
+_PLAIN = lambda c: f"lower(trim(regexp_replace(regexp_replace({c}, '[\"''`;]', '', 'g'), '\\s+', ' ', 'g')))"
+_EM = f"CASE WHEN trim(coalesce(g, '')) = '' OR trim(coalesce(p, '')) = '' THEN 0 ELSE ({_PLAIN('g')} = {_PLAIN('p')})::INTEGER END"
+_BAGS = [
+    ("same", "SELECT n_name FROM nation", "SELECT n_name FROM nation WHERE true"), ("unordered", "SELECT n_name FROM nation", "SELECT n_name FROM nation ORDER BY n_name DESC"), ("multiset", "SELECT n_regionkey FROM nation", "SELECT DISTINCT n_regionkey FROM nation"),
+    ("counts", "SELECT o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, sum(1) FROM orders GROUP BY o_orderstatus"), ("joined", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", "SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey"),
+    ("many", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", "SELECT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey"),
+]
+_LISTS = [
+    ("ordered", "SELECT list(n_name ORDER BY n_name) FROM nation", "SELECT list(n_name ORDER BY n_name DESC) FROM nation"),
+    ("sorted", "SELECT list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) FROM orders", "SELECT list(o_orderkey ORDER BY -o_totalprice, o_orderkey) FROM orders"),
+]
+
 SQL = {
     "valid_rows": f"SELECT fact_coliforms_id, loaded_at FROM fact_coliforms WHERE {_VALID('min_fecal_coliform_mpn_per_100ml')} AND {_VALID('min_total_coliform_mpn_per_100ml')}",
     "partly_given": "SELECT year, count(*) AS n FROM fact_coliforms WHERE trim(coalesce(min_fecal_coliform_mpn_per_100ml, '')) <> '' OR trim(coalesce(min_total_coliform_mpn_per_100ml, '')) <> '' GROUP BY year",
@@ -389,12 +406,19 @@ SQL = {
     "pk_duplicates": "SELECT fact_coliforms_id, count(*) AS n FROM fact_coliforms GROUP BY 1 HAVING count(*) > 1",
     "fk_orphans": "SELECT station_id, count(*) AS n FROM fact_coliforms WHERE station_id IS NOT NULL AND station_id NOT IN (SELECT station_id FROM dim_station WHERE station_id % 7 <> 0) GROUP BY 1",
     "null_keys": "SELECT station_id FROM dim_station WHERE state_id IS NULL OR station_code IS NULL",
-    "column_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", max(length(CAST({c} AS VARCHAR)))::INTEGER AS longest FROM dim_station" for c in ("station_name", "type_of_water_body", "state_id")),
+    "column_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", max(length(CAST({c} AS VARCHAR)))::INTEGER AS longest FROM dim_station" for c in ("station_name", "type_of_water_body", "state_id", "station_id")),
     "value_frequency": "SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
     "sample_values": "SELECT DISTINCT type_of_water_body AS value FROM dim_station WHERE type_of_water_body IS NOT NULL ORDER BY 1 LIMIT 4",
     "value_search": "SELECT DISTINCT state AS value FROM dim_state WHERE state ILIKE '%ta%'",
     "ex_match_multiset": "WITH a AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2), b AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_quantity <> 13 GROUP BY 1, 2) SELECT *, 'gold' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'pred' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
-    "ex_outcomes": "SELECT * FROM (VALUES ('same', 1), ('ordered', 0), ('unordered', 1), ('multiset', 0), ('broken', 0)) t(name, ex)",
+    "ex_outcomes": " UNION ALL ".join([*[f"SELECT '{name}' AS name, CAST(NOT EXISTS (SELECT * FROM (({g}) EXCEPT ALL ({p})) UNION ALL SELECT * FROM (({p}) EXCEPT ALL ({g}))) AS INTEGER) AS ex" for name, g, p in _BAGS], *[f"SELECT '{name}', CAST(({g}) = ({p}) AS INTEGER)" for name, g, p in _LISTS], "SELECT 'broken', 0"]),
+    "em_canonical": f"SELECT eval_id, {_EM} AS em_new FROM (SELECT DISTINCT eval_id, gold_sql AS g, predicted_sql AS p FROM evaluation_records)",
+    "em_changes": f"SELECT model, lang, count(*) AS rows, avg(em) AS em_old_mean, avg(em_new) AS em_new_mean, avg(ex) AS ex_mean, coalesce(sum((em <> em_new)::INT), 0)::BIGINT AS em_changed_rows FROM (SELECT *, {_EM} AS em_new FROM (SELECT DISTINCT eval_id, model, lang, em, ex, gold_sql AS g, predicted_sql AS p FROM evaluation_records)) GROUP BY model, lang",
+    "sql_extract": f"SELECT DISTINCT eval_id, trim(regexp_replace(trim(regexp_replace(coalesce(raw_output, ''), '```(sql)?', '', 'gi'), {_WS}), '^sql\\s*:\\s*', '', 'i'), {_WS}) AS statement, CASE WHEN contains(raw_output, 'EASY') THEN 'EASY' WHEN contains(raw_output, 'NON-NESTED') THEN 'NON-NESTED' ELSE 'NESTED' END AS label FROM evaluation_records",
+    "clean_numeric": f"WITH d AS (SELECT DISTINCT min_total_coliform_mpn_per_100ml AS v FROM fact_coliforms), x AS (SELECT v, {_NUM} AS x, {_NUM.replace('trim(v)', _BARE)} AS y FROM d) SELECT v, coalesce(CAST(x AS VARCHAR), '') AS as_float, coalesce(CAST(round(x, 2) AS VARCHAR), '') AS two_places, CASE WHEN {_VALID('v')} AND y IS NOT NULL THEN regexp_replace(regexp_replace(CAST(CAST(y AS DECIMAL(38,2)) AS VARCHAR), '([.][0-9]*?)0+$', '\\1'), '[.]$', '') ELSE '' END AS amount FROM x",
+    "inferred_types": " UNION ALL ".join([f"SELECT '{c}' AS \"column\", CASE WHEN count({c}) = 0 THEN 'VARCHAR(255)' ELSE 'BIGINT' END AS type FROM dim_station" for c in ("station_id", "state_id")] + ["SELECT 'station_code', CASE WHEN count(station_code) = 0 THEN 'VARCHAR(255)' ELSE 'DOUBLE PRECISION' END FROM dim_station"] + [f"SELECT '{c}', (SELECT coalesce(min('VARCHAR(' || s || ')') FILTER (WHERE s = (SELECT min(s) FROM unnest([10, 20, 30, 50, 100, 200, 255, 500, 1000]) u(s) WHERE s >= need)), 'TEXT') FROM unnest([10, 20, 30, 50, 100, 200, 255, 500, 1000]) v(s)) FROM (SELECT floor(max(length(trim({c}, {_WS}))) * 1.2) + 10 AS need FROM dim_station)" for c in ("station_name", "type_of_water_body")]),
+    "sampled_pairs": "WITH k AS (SELECT pair_id FROM (SELECT DISTINCT pair_id FROM task_records WHERE pair_id IS NOT NULL) ORDER BY md5('7|' || pair_id), pair_id LIMIT 100) SELECT DISTINCT pair_id, task_id FROM task_records WHERE pair_id IN (SELECT pair_id FROM k)",
+    "near_duplicates": "WITH t AS (SELECT task_id, x.db AS db, regexp_extract_all(lower(x.question), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+') AS w FROM (SELECT task_id, min({'db': db, 'question': question}) AS x FROM task_records WHERE question IS NOT NULL AND skeleton_id IS NOT NULL GROUP BY task_id)) SELECT task_id FROM (SELECT *, min(task_id) OVER (PARTITION BY db, w) AS first FROM t WHERE len(w) > 0) WHERE task_id > first",
     "macro_micro": f"WITH {_E}, f AS (SELECT db, model, lang, count(*) AS rows, avg(em) AS em_mean, avg(ex) AS ex_mean FROM e GROUP BY 1, 2, 3) SELECT model, lang, count(*) AS files, CAST(sum(rows) AS BIGINT) AS rows, round(avg(em_mean), 9) AS macro_em_mean, round(avg(ex_mean), 9) AS macro_ex_mean, round(sum(em_mean * rows) / sum(CASE WHEN em_mean IS NOT NULL THEN rows END), 9) AS micro_em_mean, round(sum(ex_mean * rows) / sum(CASE WHEN ex_mean IS NOT NULL THEN rows END), 9) AS micro_ex_mean FROM f GROUP BY 1, 2",
     "em_ex_by_language": f"WITH {_E} SELECT lang, coalesce(sum(em), 0)::BIGINT || '/' || count(*) AS em, coalesce(sum(ex), 0)::BIGINT || '/' || count(*) AS ex FROM e GROUP BY lang",
     "score_means": f"WITH {_S} SELECT lang, round(avg(comet_score), 9) AS mean, count(*) AS n FROM s GROUP BY lang",

@@ -52,15 +52,34 @@ def validate(spark: SparkSession, queries: list[dict], save_to: str | None = Non
         try:
             df = run_sql(spark, q["sql"])
             columns = len(df.columns)
-            if save_to:
-                with_timeout(spark, seconds, lambda df=df, q=q: df.write.mode("overwrite").csv(f"{save_to}/{q['name']}", header=True, emptyValue="", nullValue=""))
-            rows = with_timeout(spark, seconds, df.count)
+            if save_to:  # run once: the rows are counted in the file
+                path = f"{save_to}/{q['name']}"
+                with_timeout(spark, seconds, lambda df=df, path=path: df.write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="", quote='"', escape='"'))
+                rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').count()
+            else:
+                rows = with_timeout(spark, seconds, df.count)
         except Exception as e:  # noqa: BLE001
             error = str(e).splitlines()[0]
         out.append(Run(q["name"], q.get("complexity", ""), q.get("category", ""), error is None, rows, columns, time.time() - began, error))
     return out
 
 
+def save_result(spark: SparkSession, sql: str, path: str) -> tuple[bool, int]:
+    """A statement's result as CSV with a header; a statement without rows leaves one `message` row, a failing one an `error` row. Returns success and rows."""
+    from starloom.sources.tables import write_csv
+
+    try:
+        df = run_sql(spark, sql)
+        if df.columns:
+            write_csv(df, path)
+            return True, spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').count()
+        out, done = spark.createDataFrame([("done",)], "message string"), True
+    except Exception as error:  # noqa: BLE001 - the row is the result
+        out, done = spark.createDataFrame([(str(error).splitlines()[0],)], "error string"), False
+    write_csv(out, path, single=True)
+    return done, 0
+
+
 def report(spark: SparkSession, runs: list[Run]) -> DataFrame:
     """Per complexity: queries, successes, failures, least, mean and largest time."""
     df = spark.createDataFrame([tuple(asdict(r).values()) for r in runs], SHAPE)

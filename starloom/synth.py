@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -32,6 +33,17 @@ class Stub:
         return next((m.expand(a) for p, a in self.rules if (m := p.search(prompt))), "")
 
 
+@dataclass
+class Clients:
+    """Separate models for statements and for questions; one given alone serves both."""
+
+    sql: Generator
+    question: Generator | None = None
+
+    def for_questions(self) -> Generator:
+        return self.question or self.sql
+
+
 def generate_column(df: DataFrame, prompt: str, out: str, make: Callable[[], Generator]) -> DataFrame:
     """Generated text for each row's prompt; each task makes one generator and keeps it."""
     shape = df.withColumn(out, F.lit("").cast("string")).schema
