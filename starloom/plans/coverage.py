@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom import catalog, match, query
+from starloom import catalog, match, query, synth
 from starloom.functions import prose
 from starloom.functions import transforms as tf
 from starloom.lineage import ensure_checkpoint_dir
@@ -293,7 +293,132 @@ def derived_columns(spark, sf_dir):
     return both.groupBy(F.col("SMALL").alias("small"), F.col("AGAIN").alias("again")).agg(F.count("*").alias("n"), F.sum(F.col("WHOLE").cast("bigint")).alias("whole"))
 
 
-_NAMES = """csv_wide_scan csv_typed_scan csv_header ddl_scan json_lines_scan path_columns catalog_columns appended_rows validation_run executable_statements result_files presence_filter
+def sample_rows(spark, sf_dir):
+    """The first rows by key, written as a JSON sample and read again."""
+    path = f"{_folder(spark)}/nation.json"
+    tables.sample_json(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path, ["n_nationkey"])
+    back = tables.table_samples(spark, path)
+    return back.select("table_name", (F.col("place") + 1).alias("place"), F.col("cells")["n_name"].alias("n_name"))
+
+
+def markdown_rows(spark, sf_dir):
+    lines = tables.markdown(_t(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "place bigint, line string")
+
+
+def query_folder(spark, sf_dir):
+    """Query files with their notes, written and read again."""
+    folder = _folder(spark)
+    for q in CHECKED:
+        tables.write_text(f"{folder}/{q['name']}.sql", f"-- Complexity: {q['complexity']}\n-- Category: {q['category']}\n{q['sql']};\n")
+    return spark.createDataFrame([(q["name"], q["complexity"], q["category"], q["sql"].strip().rstrip(";")) for q in tables.query_files(folder)], "name string, complexity string, category string, statement string")
+
+
+def appended_results(spark, sf_dir):
+    """Results written by the first batch and added to by the others."""
+    path, e = _folder(spark), _t(spark, sf_dir, "evaluation_records").select("eval_id", "db", "em")
+    for i in range(3):
+        tables.append_results(e.filter(F.col("eval_id") % 3 == i), path, first=i == 0)
+    return spark.read.schema("eval_id bigint, db string, em int").json(path).groupBy("db").agg(F.count("*").alias("n"), F.sum("em").alias("hits"))
+
+
+def yaml_schema(spark, sf_dir):
+    """Columns with types and keys from a YAML schema of three tables."""
+    path, lines = f"{_folder(spark)}/schema.yaml", []
+    for part, names in (("dimension_tables", ("region", "nation")), ("fact_tables", ("supplier",))):
+        lines.append(f"{part}:")
+        for n in names:
+            key, *others = _t(spark, sf_dir, n).columns
+            lines += [f"  {n}:", f"    key_column: {key}", "    columns:", *[f"      - {{target_name: {c}}}" for c in others]]
+    tables.write_text(path, "\n".join(lines) + "\n")
+    found = tables.schema_config(path)
+    return spark.createDataFrame([(t.name.lower(), c.lower(), k, c in t.primary_key) for t in found.tables.values() for c, k in t.columns], "table_name string, column_name string, type string, is_key boolean")
+
+
+def _linked(spark, sf_dir) -> SchemaInfo:
+    """The order tables, each column that is named like another table's first column referring to it."""
+    schema = _schema(spark, sf_dir, ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"))
+    first = {t.columns[0][0].partition("_")[2]: t for t in schema.tables.values() if t.name != "lineitem"}
+    for t in schema.tables.values():
+        t.foreign_keys = [(c, to.name, to.columns[0][0]) for c, _ in t.columns if (to := first.get(c.partition("_")[2])) and to is not t]
+    return schema
+
+
+def reference_walk(spark, sf_dir):
+    """Tables that `nation` reaches over references, either way."""
+    return spark.createDataFrame([(t,) for t in catalog.walk(catalog.neighbours(_linked(spark, sf_dir)), "nation")], "table_name string")
+
+
+def schema_statistics(spark, sf_dir):
+    found = catalog.statistics(_linked(spark, sf_dir), {n: _t(spark, sf_dir, n).count() for n in ("region", "nation", "supplier")})
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "name string, value double")
+
+
+def _benchmark(spark, sf_dir) -> dict[str, SchemaInfo]:
+    """The benchmark's schemas; keys of fact tables refer to the dimension with the same key."""
+    out: dict[str, SchemaInfo] = {}
+    for r in _t(spark, sf_dir, "schema_columns").distinct().orderBy("db", "table_name", "column_name").collect():  # metadata
+        tables_ = out.setdefault(r.db, SchemaInfo(r.db)).tables
+        tables_.setdefault(r.table_name, TableInfo(r.table_name, [])).columns.append((r.column_name, r.data_type))
+    for schema in out.values():
+        dims = {c: t.name for t in schema.tables.values() if t.name.startswith("dim_") for c, _ in t.columns if c == f"{t.name.removeprefix('dim_')}_id"}
+        for t in schema.tables.values():
+            t.foreign_keys = [(c, dims[c], c) for c, _ in t.columns if t.name.startswith("fact_") and c in dims]
+    return out
+
+
+def unsafe_statements(spark, sf_dir):
+    """Columns of the benchmark's schemas whose mean may not be taken."""
+    out = [(s.database, t.name, c) for s in _benchmark(spark, sf_dir).values() for t in s.tables.values() for c, _ in t.columns if synth.unsafe_uses(f"SELECT AVG(x.{c}) FROM {t.name} x", s)]
+    return spark.createDataFrame(out, "db string, table_name string, column_name string")
+
+
+def invalid_joins(spark, sf_dir):
+    """Joins of two tables on a column of the same name that no reference covers."""
+    out = []
+    for s in _benchmark(spark, sf_dir).values():
+        for a in s.tables.values():
+            for b in s.tables.values():
+                for c in {n for n, _ in a.columns} & {n for n, _ in b.columns} if a.name < b.name else ():
+                    if catalog.invalid_joins(f"SELECT 1 FROM {a.name} x JOIN {b.name} AS y ON x.{c} = y.{c}", s):
+                        out.append((s.database, a.name, b.name, c))
+    return spark.createDataFrame(out, "db string, left_table string, right_table string, column_name string")
+
+
+def own_transform(spark, sf_dir):
+    """A transform registered under a name and used by it."""
+    tf.register_transform("backwards", lambda c: F.reverse(tf.strip(tf.text_of(c))))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", tf.transformed(F.col("n_name"), "backwards").alias("name"))
+
+
+def generated_texts(spark, sf_dir):
+    """Texts that the stand-in model gives for each nation's prompt."""
+    prompts = _t(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("Describe the nation "), "n_name").alias("prompt"))
+    rules = [(r"nation (A\w*)", r"An early one: \1"), (r"nation (\w+)", r"\1 it is")]
+    return synth.generate_column(prompts, "prompt", "answer", lambda: synth.Stub(rules)).select("n_nationkey", "answer")
+
+
+class _Vowels:
+    def encode(self, text: str) -> list[float]:
+        return [text.count(v) for v in "aeo"]
+
+
+def vector_similarity(spark, sf_dir):
+    """Cosine of two names' vectors by an encoder that is handed in."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("a"), F.lower("p_type").alias("b"))
+    return retrieval.similarity(p, "a", "b", "score", _Vowels).select("p_partkey", F.round("score", 9).alias("score"))
+
+
+def weighted_scores(spark, sf_dir):
+    """Weighted lexical similarity of each English question and the one before it."""
+    t = _t(spark, sf_dir, "task_records").filter("lang = 'English' and question is not null").groupBy("task_id").agg(F.min("question").alias("q"))
+    t = t.select("task_id", F.regexp_replace(F.lower("q"), "[^a-z0-9_]+", " ").alias("q"))
+    n = normalize.dense_numbers(t, ["task_id"], "place")
+    pairs = n.join(n.select((F.col("place") + 1).alias("place"), F.col("q").alias("before")), "place")
+    return pairs.select("task_id", F.round(retrieval.weighted_lexical(F.col("q"), F.col("before")), 9).alias("score"))
+
+
+_NAMES = """sample_rows markdown_rows query_folder appended_results yaml_schema reference_walk schema_statistics unsafe_statements invalid_joins own_transform generated_texts vector_similarity weighted_scores csv_wide_scan csv_typed_scan csv_header ddl_scan json_lines_scan path_columns catalog_columns appended_rows validation_run executable_statements result_files presence_filter
 ordinal_columns state_fields stripped_texts short_texts word_bigrams distinct_columns prose_statements prose_fields csv_types simple_types name_types prune_decisions schema_merge prompt_values
 administrative_places required_evidence positional_zip best_above one_shot_pick ex_match_ordered derived_columns""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
@@ -303,7 +428,25 @@ _LISTED = "SELECT table_name, column_name, ordinal_position::INTEGER AS ordinal_
 _MONEY_SQL = " OR ".join(f"contains(l, '{w}')" for w in profile.MONEY)
 _GROUPED = "(SELECT count(*) FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders))"
 
+_ORDER_TABLES = "('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem')"
+_EDGES = f"c AS (SELECT table_name AS t, column_name AS col, split_part(column_name, '_', 2) AS k, ordinal_position AS p FROM information_schema.columns WHERE table_name IN {_ORDER_TABLES}), e AS (SELECT a.t AS a, a.col, b.t AS b FROM c a JOIN c b ON a.k = b.k AND b.p = 1 AND b.t <> 'lineitem' AND a.t <> b.t)"
+_LIST_SQL = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_JACCARD = lambda a, b: f"(CASE WHEN len(list_distinct({a} || {b})) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct({a} || {b})) ELSE 0 END)"
+
 SQL = {
+    "sample_rows": "SELECT 'nation' AS table_name, row_number() OVER (ORDER BY n_nationkey)::INTEGER AS place, n_name FROM nation ORDER BY n_nationkey LIMIT 5",
+    "markdown_rows": "SELECT 0::BIGINT AS place, '| r_regionkey | r_name |' AS line UNION ALL SELECT 1, '|---|---|' UNION ALL SELECT 1 + row_number() OVER (ORDER BY r_regionkey), '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region",
+    "query_folder": " UNION ALL ".join(f"SELECT '{q['name']}' AS name, '{q['complexity']}' AS complexity, '{q['category']}' AS category, '{q['sql']}' AS statement" for q in CHECKED),
+    "appended_results": "SELECT db, count(*) AS n, sum(em)::BIGINT AS hits FROM evaluation_records WHERE eval_id IS NOT NULL GROUP BY db",
+    "yaml_schema": "SELECT table_name, column_name, CASE WHEN ordinal_position = 1 THEN 'BIGINT' WHEN ends_with(column_name, '_id') THEN 'BIGINT' WHEN contains(column_name, 'balance') THEN 'DOUBLE PRECISION' ELSE 'VARCHAR(255)' END AS type, ordinal_position = 1 AS is_key FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'supplier')",
+    "reference_walk": f"WITH RECURSIVE {_EDGES}, r(t) AS (SELECT 'nation' UNION SELECT CASE WHEN e.a = r.t THEN e.b ELSE e.a END FROM r JOIN e ON e.a = r.t OR e.b = r.t) SELECT t AS table_name FROM r",
+    "schema_statistics": f"WITH {_EDGES} SELECT 'tables' AS name, count(DISTINCT t)::DOUBLE AS value FROM c UNION ALL SELECT 'columns', count(*) FROM c UNION ALL SELECT 'foreign_keys', count(*) FROM e UNION ALL SELECT 'fk_density', round((SELECT count(*) FROM e) / (SELECT count(DISTINCT t) FROM c), 2) UNION ALL SELECT 'rows', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier)",
+    "unsafe_statements": "SELECT DISTINCT db, table_name, column_name FROM schema_columns WHERE NOT regexp_matches(lower(data_type), '^(bigint|integer|int|smallint|double|numeric|decimal|real|float)')",
+    "invalid_joins": "WITH c AS (SELECT DISTINCT db, table_name AS t, column_name AS c FROM schema_columns) SELECT a.db, a.t AS left_table, b.t AS right_table, a.c AS column_name FROM c a JOIN c b ON a.db = b.db AND a.c = b.c AND a.t < b.t WHERE NOT ((a.t LIKE 'fact!_%' ESCAPE '!' AND b.t = 'dim_' || regexp_replace(b.c, '_id$', '') AND ends_with(b.c, '_id')) OR (b.t LIKE 'fact!_%' ESCAPE '!' AND a.t = 'dim_' || regexp_replace(a.c, '_id$', '') AND ends_with(a.c, '_id')))",
+    "own_transform": "SELECT n_nationkey, reverse(trim(n_name)) AS name FROM nation",
+    "generated_texts": "SELECT n_nationkey, CASE WHEN n_name ILIKE 'a%' THEN 'An early one: ' || regexp_extract(n_name, '^\\w+') ELSE regexp_extract(n_name, '^\\w+') || ' it is' END AS answer FROM nation",
+    "vector_similarity": "WITH v AS (SELECT p_partkey, " + ", ".join(f"length({c}) - length(replace({c}, '{x}', '')) AS {n}{x}" for n, c in (("a", "lower(p_name)"), ("b", "lower(p_type)")) for x in "aeo") + " FROM part) SELECT p_partkey, round(CASE WHEN (aa + ae + ao) > 0 AND (ba + be + bo) > 0 THEN (aa * ba + ae * be + ao * bo) / (sqrt(aa * aa + ae * ae + ao * ao) * sqrt(ba * ba + be * be + bo * bo)) ELSE 0 END, 9) AS score FROM v",
+    "weighted_scores": f"WITH t AS (SELECT task_id, list_filter(regexp_split_to_array(lower(min(question)), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM task_records WHERE lang = 'English' AND question IS NOT NULL GROUP BY task_id), u AS (SELECT task_id, w, list_filter(w, lambda x: NOT list_contains({_LIST_SQL(retrieval.STOP_WORDS)}, x)) AS c, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM t), d AS (SELECT *, list_filter(c, lambda x: list_contains({_LIST_SQL(retrieval.DOMAIN_WORDS)}, x)) AS d FROM u), p AS (SELECT *, lag(c) OVER o AS c2, lag(d) OVER o AS d2, lag(g) OVER o AS g2 FROM d WINDOW o AS (ORDER BY task_id)) SELECT task_id, round(CASE WHEN len(c) = 0 OR len(c2) = 0 THEN 0 WHEN len(d) + len(d2) > 0 THEN 0.4 * {_JACCARD('c', 'c2')} + 0.35 * {_JACCARD('d', 'd2')} + 0.25 * {_JACCARD('g', 'g2')} ELSE (0.4 * {_JACCARD('c', 'c2')} + 0.25 * {_JACCARD('g', 'g2')}) / 0.65 END, 9)::DOUBLE AS score FROM p WHERE c2 IS NOT NULL",
     "csv_wide_scan": "SELECT CAST(station_id AS VARCHAR) AS station_id, coalesce(CAST(state_id AS VARCHAR), '') AS state_id, coalesce(station_name, '') AS station_name, coalesce(type_of_water_body, '') AS type_of_water_body FROM dim_station",
     "csv_typed_scan": "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, nullif(s_name, '') AS s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier",
     "csv_header": "SELECT ordinal_position::INTEGER AS ordinal_position, column_name FROM information_schema.columns WHERE table_name = 'customer'",

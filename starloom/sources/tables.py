@@ -5,8 +5,6 @@ from __future__ import annotations
 import csv
 import io
 import json
-import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +44,15 @@ def text_file(path: str) -> str:
     return "\n".join(r.value.rstrip("\n") for r in spark.read.text(path, wholetext=True).withColumn("f", F.col("_metadata.file_path")).orderBy("f").collect() if r.value.strip())
 
 
+def write_text(path: str, text: str) -> None:
+    """A small file, on whatever storage the session writes to."""
+    spark = SparkSession.active()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+
+
 def header(path: str) -> list[str]:
     first = SparkSession.active().read.text(path).limit(1).collect()
     return next(csv.reader([r.value for r in first]), [])
@@ -141,9 +148,10 @@ def evidence_map(df: DataFrame, order: str) -> DataFrame:
 def query_files(folder: str) -> list[dict]:
     """The .sql files of a folder: name, sql, complexity, category."""
     out = []
-    for path in sorted(Path(folder).glob("*.sql")):
-        sql, meta = strip_comment_lines(path.read_text(encoding="utf-8"))
-        out.append({"name": path.stem, "sql": sql, "complexity": meta.get("complexity", ""), "category": meta.get("category", "")})
+    files = SparkSession.active().read.option("pathGlobFilter", "*.sql").text(folder, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.sql$", 1).alias("name"))
+    for file in files.orderBy("name").collect():
+        sql, meta = strip_comment_lines(file["value"])
+        out.append({"name": file["name"], "sql": sql, "complexity": meta.get("complexity", ""), "category": meta.get("category", "")})
     return out
 
 
@@ -193,7 +201,7 @@ def truncate(spark: SparkSession, table: str) -> str | None:
 
 def sample_json(df: DataFrame, path: str, key: list[str], rows: int = 5) -> None:
     """The first rows by key, as one JSON list."""
-    Path(path).write_text(json.dumps([r.asDict() for r in df.orderBy(*key).limit(rows).collect()], indent=2, default=str, ensure_ascii=False))
+    write_text(path, json.dumps([r.asDict() for r in df.orderBy(*key).limit(rows).collect()], indent=2, default=str, ensure_ascii=False))
 
 
 def whole_number(v):
@@ -210,8 +218,7 @@ def table_sample(df: DataFrame, name: str, path: str | None = None, description:
     shown = [{k: whole_number(v) for k, v in r.asDict().items()} for r in head.limit(rows).collect()]
     out = {"table_name": name, "table_fullname": name, "column_names": df.columns, "column_types": [kinds[c] for c in df.columns], "description": [description] * len(df.columns), "sample_rows": shown}
     if path:
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        Path(path).write_text(json.dumps(out, indent=2, default=str, ensure_ascii=False))
+        write_text(path, json.dumps(out, indent=2, default=str, ensure_ascii=False))
     return out
 
 
@@ -224,11 +231,7 @@ def write_ddl_csv(schema: SchemaInfo, path: str) -> None:
     out.writerow(["table_name", "description", "DDL"])
     for t in schema.tables.values():
         out.writerow([t.name, t.description, create_table(t)])
-    spark = SparkSession.active()
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
-    stream.write(bytearray(text.getvalue().encode("utf-8")))
-    stream.close()
+    write_text(path, text.getvalue())
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
