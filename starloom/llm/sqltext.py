@@ -35,10 +35,10 @@ def split_answer(text: str) -> tuple[str | None, str]:
         return None, LABEL.sub("", text).strip()
     before, rest = text[: at.start()], text[at.end() :]
     lines, out, after = rest.split("\n"), [], ""
-    seen = _Lines(rest)
+    seen, last = _Lines(rest), max((i for i, line in enumerate(lines) if line.strip()), default=0)
     for i, line in enumerate(lines):
         word = re.match(r"\s*(\w+|.)", line)
-        if i and word and word[1].lower() not in CONTINUES and word[1] not in "),(" and not _open(seen, lines[i - 1]):
+        if i and word and word[1].lower() not in CONTINUES and word[1] not in "),(" and not _open(seen, lines[i - 1]) and not (i == last and _cut_word(line)):
             after = "\n".join(lines[i:])
             break
         end = seen.add(line)
@@ -49,6 +49,12 @@ def split_answer(text: str) -> tuple[str | None, str]:
     return "\n".join(out).strip(), LABEL.sub("", before + "\n" + after).strip()
 
 
+def _cut_word(line: str) -> bool:
+    """A last line of one word in capitals, the beginning of a word that goes on with a statement."""
+    m = re.fullmatch(r"\s*([A-Z]{2,})\s*;?\s*", line)
+    return bool(m) and any(w.upper().startswith(m[1]) for w in CONTINUES)
+
+
 def _begins(rest: str) -> bool:
     """SELECT, or WITH name and then AS or the end: prose may begin with `With`."""
     return rest[:6].lower() == "select" or bool(re.match(r"with\s+(?:recursive\s+)?\w+\s*(?:\Z|\(|as?\b)", rest, re.I))

@@ -190,6 +190,10 @@ def test_split_answer():
     assert split_answer("Here it is.\n\n```sql\nSELECT 1 FROM t\nWHERE x\n```\nDone well.") == ("SELECT 1 FROM t\nWHERE x", "Here it is.\n\n\n\nDone well.") or split_answer("Here it is.\n\n```sql\nSELECT 1 FROM t\nWHERE x\n```\nDone well.")[0] == "SELECT 1 FROM t\nWHERE x"
     assert split_answer("-- why?\nSELECT 1 FROM t;")[1] == ""
     assert split_answer("With regard to this, no.")[0] is None
+    for end in ("HAVIN", "ORDE;", "WHER\n```"):
+        cut_off = split_answer(f"```sql\nSELECT d.district_name FROM dim_district d\n{end}")
+        assert cut_off[1] == "" and read(cut_off[0], COLUMNS, TABLES).broken
+    assert split_answer("SELECT a FROM t\nOK")[1] == "OK"
 
 
 def test_statements_of_many_lines():
