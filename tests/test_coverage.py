@@ -111,3 +111,12 @@ def test_quantiles_and_positions_over_partitions(spark):
     slow = match.execution_match(spark, "SELECT id FROM four", "SELECT id / (id - id) FROM four")
     assert slow.match == 0 and slow.error.startswith("Pred SQL Error")
     assert match.execution_match(spark, "SELECT id / (id - id) FROM four", "SELECT id FROM four").error.startswith("Gold SQL Error")
+
+
+def test_broadcasts_are_checked_in_rows_and_bytes(spark):
+    from starloom.functions.sizes import broadcast_if_small
+
+    hinted = lambda df, **k: "broadcast" in broadcast_if_small(df, **k)._jdf.queryExecution().logical().toString()
+    df = spark.createDataFrame([(i, "x" * 100, [1, 2], {"a": "b"}, (1, "z")) for i in range(10)], "i int, s string, a array<int>, m map<string,string>, t struct<x:int,y:string>")
+    assert hinted(df) and hinted(df, rows=10) and not hinted(df, rows=9) and not hinted(df, most_bytes=1000)
+    assert hinted(df.limit(0)) and hinted(spark.createDataFrame([(None, None)], "s string, a array<string>"))
