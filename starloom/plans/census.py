@@ -85,6 +85,23 @@ class Pipe:
     def top(self, n: int | None, *order: str) -> Pipe:
         return self._with("top", n, order)
 
+    def merged(self) -> Pipe:
+        """The same with one aggregation a grain: sums of the same rows by the same key, joined by that key, are taken in one pass."""
+        out: list[tuple] = []
+        for kind, *args in self.steps:
+            if kind == "join":
+                other, on, how = args[0].merged(), *args[1:]
+                plain = len(other.steps) == 1 and other.source == self.source and other.steps[0][:2] == ("group", tuple(on)) and how == "inner"
+                if plain and on and out and out[0][:2] == ("group", tuple(on)) and all(k in ("calc", "where") for k, *_ in out[1:]):
+                    taken = {*out[0][2], *(name for k, *a in out[1:] if k == "calc" for name in a[0])}
+                    if taken.isdisjoint(other.steps[0][2]):
+                        out[0] = ("group", tuple(on), out[0][2] | other.steps[0][2])
+                        continue
+                out.append(("join", other, on, how))
+            else:
+                out.append((kind, *args))
+        return Pipe(self.source, out)
+
     def run(self, source: Callable[[str], DataFrame]) -> DataFrame:
         df = source(self.source)
         for kind, *args in self.steps:
@@ -222,7 +239,7 @@ def _query(pipe: Pipe) -> Callable[[SparkSession, str], DataFrame]:
         def source(name: str) -> DataFrame:
             return made.setdefault(name, (locations if name == "locations" else census)(spark, sf_dir))
 
-        return pipe.run(source)
+        return pipe.merged().run(source)
 
     return run
 
