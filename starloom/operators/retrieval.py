@@ -60,12 +60,19 @@ def weighted_lexical(a: Column, b: Column, strict_reference: bool = False) -> Co
 
     Strictly, two equal texts without a domain word score 0.65; otherwise the domain part is shared out where neither text has such words.
     """
-    wa, wb = word_list(a), word_list(b)
-    stop, domain = F.array(*map(F.lit, STOP_WORDS)), F.array(*map(F.lit, DOMAIN_WORDS))
-    ca, cb = F.array_except(wa, stop), F.array_except(wb, stop)
-    da, db = F.array_intersect(ca, domain), F.array_intersect(cb, domain)
+    return _weighted(_words(word_list(a)), _words(word_list(b)), strict_reference)
+
+
+def _words(w: Column) -> tuple[Column, Column, Column]:
+    """Content words, domain words and bigrams of a list of words."""
+    content = F.array_except(w, F.array(*map(F.lit, STOP_WORDS)))
+    return content, F.array_intersect(content, F.array(*map(F.lit, DOMAIN_WORDS))), bigrams(w)
+
+
+def _weighted(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column], strict_reference: bool) -> Column:
+    (ca, da, ga), (cb, db, gb) = a, b
     has = F.size(F.array_union(da, db)) > 0
-    words, grams = jaccard(ca, cb), jaccard(bigrams(wa), bigrams(wb))
+    words, grams = jaccard(ca, cb), jaccard(ga, gb)
     full = 0.4 * words + 0.35 * jaccard(da, db) + 0.25 * grams
     score = full if strict_reference else F.when(has, full).otherwise((0.4 * words + 0.25 * grams) / 0.65)
     return F.when((F.size(ca) > 0) & (F.size(cb) > 0), score).otherwise(0.0)
@@ -182,24 +189,26 @@ def greedily_dropped(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, block: str, id_col: str, text: str, other: str, threshold: float = 0.95, strict_reference: bool = False) -> DataFrame:
     """Ids of the pairs whose text and other text are both near those of an earlier kept pair of the block, in id order.
 
-    Candidates share a word bigram of the text and of the other, or are equal; each is scored with the weighted lexical similarity.
+    Words are worked out once a pair of texts, as 64-bit hashes. A score above the threshold needs four fifths of the bigrams of both in common, so candidates
+    share one of each text's rarest few (a prefix filter, which loses none) and are of near sizes; each is then scored with the weighted lexical similarity.
     """
     base = df.select(F.col(block).alias("b"), F.col(id_col).alias("id"), F.col(text).alias("t"), F.col(other).alias("o"))
     # one representative a distinct pair of texts; its copies are near it by definition (unless strict, see weighted_lexical)
-    reps = base.groupBy("b", "t", "o").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    own = weighted_lexical(F.col("t"), F.col("t"), strict_reference)
-    other_own = weighted_lexical(F.col("o"), F.col("o"), strict_reference)
-    copies = base.join(reps.filter((own > threshold) & (other_own > threshold)), ["b", "t", "o"]).filter("id <> rep").select("id")
-    texts = reps.select("rep", "t", "o")
-    grams = reps.select("b", "rep", F.array_distinct(bigrams(word_list(F.col("t")))).alias("gs")).select("b", "rep", F.size("gs").alias("m"), F.explode("gs").alias("g"))
-    rare = Window.partitionBy("b", "rep").orderBy("df", "g")
+    reps = base.groupBy("b", "t", "o").agg(F.min("id").alias("rep"))
+    hashed = lambda words: F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
+    shape = lambda c: F.struct(*[hashed(x).alias(n) for n, x in zip("cdg", _words(c))])
+    parts = reps.withColumns({"_tw": word_list(F.col("t")), "_ow": word_list(F.col("o"))}).select("b", "rep", "t", "o", shape(F.col("_tw")).alias("ft"), shape(F.col("_ow")).alias("fo"))
+    of = lambda c: tuple(F.col(f"{c}.{n}") for n in "cdg")
+    parts = cut(parts)
+    own = (_weighted(of("ft"), of("ft"), strict_reference) > threshold) & (_weighted(of("fo"), of("fo"), strict_reference) > threshold)
+    copies = base.join(parts.filter(own).select("b", "t", "o", "rep"), ["b", "t", "o"]).filter("id <> rep").select("id")
+    grams = parts.select("b", "rep", F.size("ft.g").alias("m"), F.explode("ft.g").alias("g"))
     counts = grams.groupBy("b", "g").agg(F.count("*").alias("df"))
-    # a pair above the threshold shares four fifths of its bigrams, so it shares one of the rarest few (prefix filter), and sizes are near
-    prefix = grams.join(counts.filter("df > 1"), ["b", "g"], "left").withColumn("r", F.row_number().over(rare))
-    prefix = prefix.filter((F.col("r") <= F.col("m") - F.ceil(F.col("m") * 0.8) + 1) & F.col("df").isNotNull()).select("b", "g", "rep", "m")
+    prefix = grams.join(counts.filter("df > 1"), ["b", "g"], "left").withColumn("r", F.row_number().over(Window.partitionBy("b", "rep").orderBy("df", "g")))
+    prefix = cut(prefix.filter((F.col("r") <= F.col("m") - F.ceil(F.col("m") * 0.8) + 1) & F.col("df").isNotNull()).select("b", "g", "rep", "m"))
     right = prefix.select("b", "g", F.col("rep").alias("rep2"), F.col("m").alias("m2"))
     near = (F.col("rep") < F.col("rep2")) & (F.least("m", "m2") >= 0.8 * F.greatest("m", "m2"))
     pairs = prefix.join(right, ["b", "g"]).filter(near).select("rep", "rep2").distinct()
-    close = pairs.join(texts, "rep").join(texts.select(F.col("rep").alias("rep2"), F.col("t").alias("t2"), F.col("o").alias("o2")), "rep2")
-    close = close.filter(weighted_lexical(F.col("o"), F.col("o2"), strict_reference) > threshold).filter(weighted_lexical(F.col("t"), F.col("t2"), strict_reference) > threshold)
+    close = pairs.join(parts.select("rep", "ft", "fo"), "rep").join(parts.select(F.col("rep").alias("rep2"), F.col("ft").alias("ft2"), F.col("fo").alias("fo2")), "rep2")
+    close = close.filter(_weighted(of("ft"), of("ft2"), strict_reference) > threshold).filter(_weighted(of("fo"), of("fo2"), strict_reference) > threshold)
     return copies.unionByName(greedily_dropped(close.select("rep", "rep2"))).distinct()
