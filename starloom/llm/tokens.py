@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import os
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -49,25 +48,42 @@ def pre_tokens(text: str | None) -> list[str]:
     return PRE_TOKEN.findall(text) if text else []
 
 
-def word_counts(df: DataFrame, text_col: str, most_held: int = 200_000) -> DataFrame:
-    """(`word`, `n`): distinct pre-tokens and their occurrences, combined in each task before the shuffle; a task holds `most_held` words at once."""
+def _lists(values: pa.Array, sizes: list[int] | np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they come first."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+def _coded(rows: DataFrame, kept: list[str], most_tokens: int = 1 << 20) -> DataFrame:
+    """The one pass over the texts `t`: rows of about `most_tokens` pre-tokens of whole texts each, with the `kept` columns as lists, each text's number of pre-tokens
+    (`_sizes`), the distinct words of the row (`_vocabulary`), how often each occurs (`_n`), and the words' places in it (`_codes`)."""
+    ints = T.ArrayType(T.IntegerType())
+    added = [("_sizes", ints), ("_vocabulary", T.ArrayType(T.StringType())), ("_n", ints), ("_codes", ints)]
+    schema = T.StructType([*[T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in kept], *[T.StructField(c, kind) for c, kind in added]])
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column("t").to_pylist():
-                held.update(PRE_TOKEN.findall(text))
-                if len(held) > most_held:
-                    yield out()
-                    held.clear()
-        yield out()
+            numbers, codes, sizes, first, held = _Numbers(), [], [], 0, 0
+            for i, text in enumerate(batch.column("t").to_pylist(), 1):
+                found = pre_tokens(text)
+                codes.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                sizes.append(len(found))
+                held += len(found)
+                if held < most_tokens and i < batch.num_rows:
+                    continue
+                flat = np.concatenate(codes)
+                lists = [batch.column(c).slice(first, i - first) for c in kept]
+                lists += [pa.array(sizes, pa.int32()), pa.array(list(numbers), pa.string()), pa.array(np.bincount(flat, minlength=len(numbers)).astype(np.int32)), pa.array(flat)]
+                yield pa.RecordBatch.from_arrays([_lists(x, [len(x)]) for x in lists], [*kept, *[c for c, _ in added]])
+                numbers, codes, sizes, first, held = _Numbers(), [], [], i, 0
 
-    texts = df.select(F.col(text_col).alias("t")).filter("t <> ''")
-    return texts.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return written(rows.select(*kept, "t").mapInArrow(code, schema))
 
 
 def dictionary(counts: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
@@ -86,67 +102,53 @@ def dictionary(counts: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     return counts.mapInArrow(encode, schema)
 
 
-class _Hot(dict):
-    """Ids of frequent words; any other word is noted and stands as -1."""
-
-    def __init__(self, rows: dict[str, tuple[int, ...]]) -> None:
-        super().__init__(rows)
-        self.missed: list[str] = []
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        self.missed.append(word)
-        return (-1,)
-
-
-def _lists(values: pa.Array, sizes: list[int] | np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
-
-
 def _looked_up(df: DataFrame, keep: list[str], text_col: str, folder: str, hot_share: float, with_ids: bool) -> tuple[DataFrame, DataFrame]:
     """Each row of `df` with a key of its own (`_key`), the `keep` columns as `_k0`.., `_hot` (ids found at once), and of the rare words the distinct
     ones (`_words`), how often each occurs (`_times`), and, with ids, the runs of ids around them (`_runs`) and which word follows each run (`_next`). And the dictionary of rare words."""
     spark = df.sparkSession
-    rows = in_parts(df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t")))
-    words = written(dictionary(word_counts(rows, "t"), folder))
+    kept = ["_key", *[f"_k{i}" for i in range(len(keep))]]
+    rows = in_parts(df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))).withColumn("_key", F.monotonically_increasing_id())
+    coded = _coded(rows, kept)
+    counts = coded.select(F.explode(F.arrays_zip("_vocabulary", "_n")).alias("w")).groupBy(F.col("w._vocabulary").alias("word")).agg(F.sum("w._n").alias("n"))
+    words = written(dictionary(counts, folder))
     total = words.agg(F.sum("n")).first()[0] or 0
     least = max(1.0, hot_share * total)
     hot = spark.sparkContext.broadcast({r.word: tuple(r.ids) for r in words.filter(F.col("n") >= least).select("word", "ids").collect()})  # 1 / hot_share words at most
     ints, texts = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
     added = [("_hot", T.LongType()), ("_words", texts), ("_times", ints), *([("_runs", T.ArrayType(ints)), ("_next", ints)] if with_ids else [])]
-    kept = ["_key", *[f"_k{i}" for i in range(len(keep))]]
-    keyed = rows.withColumn("_key", F.monotonically_increasing_id()).select(*kept, "t")
-    schema = T.StructType([*[keyed.schema[c] for c in kept], *[T.StructField(c, kind) for c, kind in added]])
+    schema = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(c, kind) for c, kind in added]])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Hot(hot.value)
         for batch in batches:
-            ids, sizes, rare, times, follows, gaps = [], [], [], [], [], []
-            for text in batch.column("t").to_pylist():
-                table.missed = []
-                found = list(chain.from_iterable(map(table.__getitem__, pre_tokens(text))))
-                ids.append(np.array(found, np.int32))
-                sizes.append(len(found))
-                counts = Counter(table.missed)
-                place = {w: i for i, w in enumerate(counts)}
-                rare.append(list(counts))
-                times += counts.values()
-                gaps.append(len(table.missed))
-                follows += map(place.__getitem__, table.missed)
-            sizes, gaps = np.array(sizes, np.int64), np.array(gaps, np.int64)
-            n = list(map(len, rare))
-            out = [batch.column(c) for c in kept] + [pa.array(sizes - gaps), _lists(pa.array(list(chain.from_iterable(rare)), pa.string()), n), _lists(pa.array(times, pa.int32()), n)]
-            if with_ids:
-                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                # a run ends before each -1 and at the end of each text; it holds the ids since the last end
-                ends = np.cumsum(sizes)
-                marks = np.flatnonzero(flat < 0)
-                stops = np.sort(np.r_[marks, ends], kind="stable")
-                before = np.searchsorted(marks, stops)  # ids before a stop, without the marks before it
-                runs = _lists(pa.array(flat[flat >= 0]), np.diff(np.r_[0, stops - before]))
-                out += [_lists(runs, gaps + 1), _lists(pa.array(follows, pa.int32()), gaps)]
-            yield pa.RecordBatch.from_arrays(out, [*kept, *[c for c, _ in added]])
-
-    return written(keyed.mapInArrow(look_up, schema)), words.filter(F.col("n") < least).select("word", "ids")
+            for r in range(batch.num_rows):
+                one = {c: batch.column(c).slice(r, 1).flatten() for c in batch.schema.names}
+                texts_, sizes, codes = len(one["_key"]), one["_sizes"].to_numpy().astype(np.int64), one["_codes"].to_numpy()
+                known = [hot.value.get(w) for w in one["_vocabulary"].to_pylist()]
+                rare = np.array([x is None for x in known], bool)
+                length = np.array([1 if x is None else len(x) for x in known], np.int64)
+                ids = np.fromiter(chain.from_iterable((-1,) if x is None else x for x in known), np.int32, int(length.sum()))
+                # of each text the rare words' places, and each distinct one of them once
+                text = np.repeat(np.arange(texts_), sizes)
+                at = np.flatnonzero(rare[codes]) if len(codes) else np.empty(0, np.int64)
+                pairs, which, times = np.unique(text[at] * len(known) + codes[at], return_inverse=True, return_counts=True)
+                owner = pairs // max(1, len(known))
+                n = np.bincount(owner, minlength=texts_)
+                gaps = np.bincount(text[at], minlength=texts_)
+                many = np.add.reduceat(np.r_[length[codes], 0], np.minimum(np.cumsum(sizes) - sizes, len(codes))) * (sizes > 0) if texts_ else np.empty(0, np.int64)
+                out = [one[c] for c in kept] + [pa.array(many - gaps), _lists(one["_vocabulary"].take(pa.array(pairs % max(1, len(known)))), n), _lists(pa.array(times.astype(np.int32)), n)]
+                if with_ids:
+                    each = length[codes]
+                    flat = ids[np.repeat((np.cumsum(length) - length)[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+                    # a run ends before each -1 and at the end of each text; it holds the ids since the last end
+                    marks = np.flatnonzero(flat < 0)
+                    stops = np.sort(np.r_[marks, np.cumsum(many)], kind="stable")
+                    before = np.searchsorted(marks, stops)  # marks before a stop, which are no ids
+                    runs = _lists(pa.array(flat[flat >= 0]), np.diff(np.r_[0, stops - before]))
+                    place = which.ravel() - (np.cumsum(n) - n)[text[at]]
+                    out += [_lists(runs, gaps + 1), _lists(pa.array(place.astype(np.int32)), gaps)]
+                yield pa.RecordBatch.from_arrays(out, [*kept, *[c for c, _ in added]])
+
+    return written(coded.mapInArrow(look_up, schema)), words.filter(F.col("n") < least).select("word", "ids")
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, hot_share: float = 1e-5) -> DataFrame:
