@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -84,12 +85,12 @@ class Rolling:
                 factors[0] = 1
                 setattr(self, name, np.multiply.accumulate(factors))
 
-    def ending_at(self, text: str, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Hash of text[max(0, i - n) : i] for every i of `at` and n of `lengths`."""
+    def ending_at(self, text: str, at: np.ndarray, lengths: np.ndarray, floor: np.ndarray | int = 0) -> np.ndarray:
+        """Hash of text[max(floor, i - n) : i] for every i of `at`, each with its floor, and n of `lengths`."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
         self.grow(len(codes))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * self.up[: len(codes)], dtype=np.uint64)])
-        start = np.maximum(0, at[:, None] - lengths[None, :])
+        start = np.maximum(np.broadcast_to(floor, len(at))[:, None], at[:, None] - lengths[None, :])
         h = (sums[at][:, None] - sums[start]) * self.down[start]
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return (h ^ (h >> np.uint64(32))).view(np.int64)
@@ -98,7 +99,7 @@ class Rolling:
 class Tally:
     """Counts of contexts, gathered as arrays and added up when there are many."""
 
-    def __init__(self, most: int = 1 << 20) -> None:
+    def __init__(self, most: int = 1 << 23) -> None:
         self.most, self.waiting, self.size = most, {"ends": [], "goes_on": []}, 0
 
     def add(self, kind: str, contexts: np.ndarray) -> None:
@@ -161,21 +162,24 @@ class Model:
         mark = stop[0][0] if stop else ""
         return {"pieces": [START_OF_TEXT, *map(self.masks.__getitem__, cells)], "stop": mark, "fragment": unknown and not mark and (last[0].islower() or last in self.beginnings), "counts": bool(mark) or not unknown}
 
-    def count(self, seen: dict, tally: Tally) -> np.ndarray:
-        """Adds a text's contexts to the tally; returns those of its end."""
-        pieces_ = seen["pieces"]
-        masked = "".join(pieces_)
-        after = np.cumsum(list(map(len, pieces_)))
-        at = after[~np.fromiter(map(NOT_ENDS.__contains__, pieces_), bool, len(pieces_))]
-        inner = [end - len(p) + i for p, end in zip(pieces_, after.tolist()) if p in self.inside for i in self.inside[p]]
-        contexts = self.rolling.ending_at(masked, at, self.lengths)
-        last = at == len(masked)
+    def count(self, seen: list[dict], tally: Tally) -> np.ndarray:
+        """Adds the contexts of texts to the tally, all texts laid end to end; returns those of each text's end."""
+        cells = list(chain.from_iterable(x["pieces"] for x in seen))
+        after = np.cumsum(list(map(len, cells)))
+        last_cell = np.cumsum([len(x["pieces"]) for x in seen]) - 1
+        ends = after[last_cell]
+        begins, text = np.r_[0, ends[:-1]], np.repeat(np.arange(len(seen)), np.diff(np.r_[-1, last_cell]))
+        masked = "".join(cells)
+        word = ~np.fromiter(map(NOT_ENDS.__contains__, cells), bool, len(cells))
+        at, of = after[word], text[word]
+        contexts = self.rolling.ending_at(masked, at, self.lengths, begins[of])
+        last = at == ends[of]
         tally.add("goes_on", contexts[~last])
-        if inner:
-            tally.add("goes_on", self.rolling.ending_at(masked, np.array(inner), self.lengths))
-        if seen["counts"]:
-            tally.add("ends", contexts[last])
-        return contexts[-1] if last.any() else self.rolling.ending_at(masked, np.array([len(masked)]), self.lengths)[0]
+        inner = np.array([(end - len(p) + i, begin) for p, end, begin in zip(cells, after.tolist(), begins[text].tolist()) if p in self.inside for i in self.inside[p]])
+        if len(inner):
+            tally.add("goes_on", self.rolling.ending_at(masked, inner[:, 0], self.lengths, inner[:, 1]))
+        tally.add("ends", contexts[last & np.array([bool(x["counts"]) for x in seen])[of]])
+        return self.rolling.ending_at(masked, ends, self.lengths, begins)
 
 
 def _words(df: DataFrame, text: str) -> DataFrame:
@@ -217,8 +221,8 @@ def known_words(df: DataFrame, text: str, share: float = WORD_SHARE, least: int
     return [r.word for r in rows if not (2 * r.bare > r.n and most.get(r.word, 0) > r.n)]
 
 
-def score(df: DataFrame, id_col: str, text: str, language: str, schema: DataFrame | None = None) -> DataFrame:
-    """(`id`, `language`, `stop`, `fragment`, `length`, `ends`, `goes_on`, `log_odds`) of every text with a word."""
+def score(df: DataFrame, id_col: str, text: str, language: str, schema: DataFrame | None = None, most_chars: int = 1 << 19) -> DataFrame:
+    """(`id`, `language`, `stop`, `fragment`, `length`, `ends`, `goes_on`, `log_odds`) of every text with a word; contexts are counted for about `most_chars` characters at a time."""
     spark = df.sparkSession
     names = schema.select(F.lower("table_name").alias("t"), F.lower("column_name").alias("c")).distinct().limit(200_001).collect() if schema is not None else []
     if len(names) > 200_000:
@@ -235,14 +239,29 @@ def score(df: DataFrame, id_col: str, text: str, language: str, schema: DataFram
             nothing = pd.Series([None] * len(counts), dtype=object)
             return pd.DataFrame({n: counts[n] if n in counts else nothing for n in names})
 
+        waiting, chars, rows = [], 0, []
+
+        def counted() -> None:
+            finals = model.count([seen for *_, seen in waiting], tally)
+            rows.extend((key, lang, seen["stop"], bool(seen["fragment"]), int(seen["counts"]), end, None, None, None) for (key, lang, seen), end in zip(waiting, finals))
+            waiting.clear()
+
         for frame in frames:
-            rows = []
             for key, lang, t in zip(frame["id"], frame["language"], frame["t"]):
                 if seen := model.view(t):
-                    rows.append((key, lang, seen["stop"], bool(seen["fragment"]), int(seen["counts"]), model.count(seen, tally), None, None, None))
-            yield pd.DataFrame(rows, columns=names)
-            if tally.size > tally.most:  # as many contexts as 8 MB hold
-                yield tallies()
+                    waiting.append((key, lang, seen))
+                    chars += len(t)
+                if chars > most_chars:
+                    counted()
+                    chars = 0
+                    if tally.size > tally.most:  # as many contexts as 64 MB hold
+                        yield tallies()
+            if len(rows) >= 5000:
+                yield pd.DataFrame(rows, columns=names)
+                rows.clear()
+        if waiting:
+            counted()
+        yield pd.DataFrame(rows, columns=names)
         yield tallies()
 
     texts = in_parts(df).select(F.col(id_col).alias("id"), F.col(language).cast("string").alias("language"), F.col(text).alias("t")).filter("t is not null")
