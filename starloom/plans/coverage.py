@@ -410,8 +410,8 @@ def vector_similarity(spark, sf_dir):
 
 
 def weighted_scores(spark, sf_dir):
-    """Weighted lexical similarity of each English question and the one before it."""
-    t = _t(spark, sf_dir, "task_records").filter("lang = 'English' and question is not null").groupBy("task_id").agg(F.min("question").alias("q"))
+    """Weighted lexical similarity of the words in Latin letters of each question and the one before it."""
+    t = _t(spark, sf_dir, "task_records").filter("question is not null").groupBy("task_id").agg(F.min("question").alias("q"))
     t = t.select("task_id", F.regexp_replace(F.lower("q"), "[^a-z0-9_]+", " ").alias("q"))
     n = normalize.dense_numbers(t, ["task_id"], "place")
     pairs = n.join(n.select((F.col("place") + 1).alias("place"), F.col("q").alias("before")), "place")
@@ -446,7 +446,7 @@ SQL = {
     "own_transform": "SELECT n_nationkey, reverse(trim(n_name)) AS name FROM nation",
     "generated_texts": "SELECT n_nationkey, CASE WHEN n_name ILIKE 'a%' THEN 'An early one: ' || regexp_extract(n_name, '^\\w+') ELSE regexp_extract(n_name, '^\\w+') || ' it is' END AS answer FROM nation",
     "vector_similarity": "WITH v AS (SELECT p_partkey, " + ", ".join(f"length({c}) - length(replace({c}, '{x}', '')) AS {n}{x}" for n, c in (("a", "lower(p_name)"), ("b", "lower(p_type)")) for x in "aeo") + " FROM part) SELECT p_partkey, round(CASE WHEN (aa + ae + ao) > 0 AND (ba + be + bo) > 0 THEN (aa * ba + ae * be + ao * bo) / (sqrt(aa * aa + ae * ae + ao * ao) * sqrt(ba * ba + be * be + bo * bo)) ELSE 0 END, 9) AS score FROM v",
-    "weighted_scores": f"WITH t AS (SELECT task_id, list_filter(regexp_split_to_array(lower(min(question)), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM task_records WHERE lang = 'English' AND question IS NOT NULL GROUP BY task_id), u AS (SELECT task_id, w, list_filter(w, lambda x: NOT list_contains({_LIST_SQL(retrieval.STOP_WORDS)}, x)) AS c, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM t), d AS (SELECT *, list_filter(c, lambda x: list_contains({_LIST_SQL(retrieval.DOMAIN_WORDS)}, x)) AS d FROM u), p AS (SELECT *, lag(c) OVER o AS c2, lag(d) OVER o AS d2, lag(g) OVER o AS g2 FROM d WINDOW o AS (ORDER BY task_id)) SELECT task_id, round(CASE WHEN len(c) = 0 OR len(c2) = 0 THEN 0 WHEN len(d) + len(d2) > 0 THEN 0.4 * {_JACCARD('c', 'c2')} + 0.35 * {_JACCARD('d', 'd2')} + 0.25 * {_JACCARD('g', 'g2')} ELSE (0.4 * {_JACCARD('c', 'c2')} + 0.25 * {_JACCARD('g', 'g2')}) / 0.65 END, 9)::DOUBLE AS score FROM p WHERE c2 IS NOT NULL",
+    "weighted_scores": f"WITH t AS (SELECT task_id, list_filter(regexp_split_to_array(lower(min(question)), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM task_records WHERE question IS NOT NULL GROUP BY task_id), u AS (SELECT task_id, w, list_filter(w, lambda x: NOT list_contains({_LIST_SQL(retrieval.STOP_WORDS)}, x)) AS c, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM t), d AS (SELECT *, list_filter(c, lambda x: list_contains({_LIST_SQL(retrieval.DOMAIN_WORDS)}, x)) AS d FROM u), p AS (SELECT *, lag(c) OVER o AS c2, lag(d) OVER o AS d2, lag(g) OVER o AS g2 FROM d WINDOW o AS (ORDER BY task_id)) SELECT task_id, round(CASE WHEN len(c) = 0 OR len(c2) = 0 THEN 0 WHEN len(d) + len(d2) > 0 THEN 0.4 * {_JACCARD('c', 'c2')} + 0.35 * {_JACCARD('d', 'd2')} + 0.25 * {_JACCARD('g', 'g2')} ELSE (0.4 * {_JACCARD('c', 'c2')} + 0.25 * {_JACCARD('g', 'g2')}) / 0.65 END, 9)::DOUBLE AS score FROM p WHERE c2 IS NOT NULL",
     "csv_wide_scan": "SELECT CAST(station_id AS VARCHAR) AS station_id, coalesce(CAST(state_id AS VARCHAR), '') AS state_id, coalesce(station_name, '') AS station_name, coalesce(type_of_water_body, '') AS type_of_water_body FROM dim_station",
     "csv_typed_scan": "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, nullif(s_name, '') AS s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier",
     "csv_header": "SELECT ordinal_position::INTEGER AS ordinal_position, column_name FROM information_schema.columns WHERE table_name = 'customer'",

@@ -71,7 +71,7 @@ def composite_key(spark, sf_dir):
 
 
 def token_lists(spark, sf_dir):
-    t = _t(spark, sf_dir, "task_records").filter(F.col("lang") == "English").select("task_id", "question").distinct()
+    t = _t(spark, sf_dir, "task_records").select("task_id", "question").distinct()
     return t.select("task_id", F.array_join(tf.ascii_tokens(F.col("question")), " ").alias("tokens"))
 
 
@@ -327,9 +327,9 @@ def cosine_topk(spark, sf_dir):
 
 
 def token_jaccard_topk(spark, sf_dir):
-    """For each stated query task (ids divisible by 50) the three most similar tasks of other databases, among all English ones."""
-    t = _t(spark, sf_dir, "task_records").filter("lang = 'English' and question is not null").groupBy("task_id").agg(F.min("db").alias("db"), F.min("question").alias("question"))
-    out = retrieval.examples(t.filter("task_id % 50 = 0"), t, "db", "question", "task_id", 3, strict_reference=True)
+    """For each stated query task (ids divisible by 50) the three most similar tasks of other databases, among all tasks in any script."""
+    t = _t(spark, sf_dir, "task_records").filter("question is not null").groupBy("task_id").agg(F.min("db").alias("db"), F.min("question").alias("question"))
+    out = retrieval.examples(t.filter("task_id % 50 = 0"), t, "db", "question", "task_id", 3)
     return out.select("target_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -390,7 +390,7 @@ SQL = {
     "fiscal_time": "SELECT year, year AS start_year, year + 1 AS end_year, 'FY' || year || '-' || lpad(CAST((year + 1) % 100 AS VARCHAR), 2, '0') AS label, (year // 10 * 10) || 's' AS decade, year < 2017 AS pre_gst, year IN (2020, 2021) AS covid FROM dim_time",
     "century_months": "SELECT year, year AS cm_year, 7 AS cm_month FROM dim_time",
     "composite_key": "SELECT station_id, coalesce(CAST(state_id AS VARCHAR), '') || '|' || trim(coalesce(station_name, '')) || '|' || trim(coalesce(type_of_water_body, '')) AS k FROM dim_station",
-    "token_lists": "SELECT DISTINCT task_id, array_to_string(list_filter(regexp_split_to_array(lower(coalesce(question, '')), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS tokens FROM task_records WHERE lang = 'English'",
+    "token_lists": "SELECT DISTINCT task_id, array_to_string(list_filter(regexp_split_to_array(lower(coalesce(question, '')), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS tokens FROM task_records",
     "model_slug": "SELECT replace(replace(replace(coalesce(model, ''), '/', '_'), '-', '_'), '.', '_') AS model, count(*) AS n FROM evaluation_records GROUP BY 1",
     "basic_sql": "SELECT DISTINCT eval_id, contains(l, 'select') AND contains(l, 'from') AND length(replace(l, '(', '')) = length(replace(l, ')', '')) AND NOT contains(l, 'col_') AND NOT contains(l, 'table_') AS ok FROM (SELECT eval_id, lower(coalesce(predicted_sql, '')) AS l FROM evaluation_records)",
     "dim_dedup_surrogate": f"WITH {_DIMS} SELECT nation_id, region_id, n_name AS nation FROM nat JOIN reg USING (r_name)",
@@ -431,7 +431,7 @@ SQL = {
     "difficulty_distribution": "SELECT difficulty, count(*) AS n FROM (SELECT DISTINCT task_id, difficulty FROM task_records) GROUP BY difficulty",
     "pair_quality": "WITH t AS (SELECT DISTINCT task_id, similarity_score, original_question_id, lower(coalesce(sql, '')) AS l FROM task_records), q AS (SELECT *, contains(l, 'select') AND contains(l, 'from') AND length(replace(l, '(', '')) = length(replace(l, ')', '')) AND NOT contains(l, 'col_') AND NOT contains(l, 'table_') AS ok FROM t) SELECT count(*) AS pairs, count(CASE WHEN ok THEN 1 END) AS valid, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS validity_rate, round(avg(CASE WHEN similarity_score > 0 THEN similarity_score END), 9) AS mean_score, round(min(CASE WHEN similarity_score > 0 THEN similarity_score END), 9) AS min_score, round(max(CASE WHEN similarity_score > 0 THEN similarity_score END), 9) AS max_score, round(count(*) / count(DISTINCT original_question_id), 9) AS pairs_per_question FROM q",
     "cosine_topk": "WITH p AS (SELECT q.vec_id AS query_id, i.vec_id AS id, round(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 9) AS score FROM embeddings i JOIN embeddings q ON q.vec_id % 50 = 0 AND i.vec_id <> q.vec_id) SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) WHERE rank <= 5",
-    "token_jaccard_topk": "WITH t AS (SELECT task_id, min(db) AS db, list_distinct(list_filter(regexp_split_to_array(lower(min(question)), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM task_records WHERE lang = 'English' AND question IS NOT NULL GROUP BY task_id), p AS (SELECT a.task_id AS target_id, b.task_id AS id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS score FROM t a JOIN t b ON a.task_id % 50 = 0 AND a.db <> b.db WHERE len(list_intersect(a.w, b.w)) > 0) SELECT target_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, id) AS rank FROM p) WHERE rank <= 3",
+    "token_jaccard_topk": "WITH t AS (SELECT task_id, min(db) AS db, list_distinct(list_filter(regexp_split_to_array(lower(min(question)), '[^\\p{L}\\p{M}\\p{N}]+'), lambda x: x <> '')) AS w FROM task_records WHERE question IS NOT NULL GROUP BY task_id), p AS (SELECT a.task_id AS target_id, b.task_id AS id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS score FROM t a JOIN t b ON a.task_id % 50 = 0 AND a.db <> b.db WHERE len(list_intersect(a.w, b.w)) > 0) SELECT target_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, id) AS rank FROM p) WHERE rank <= 3",
     "diversified_topk": f"WITH {_S}, g AS (SELECT lang, db, pair_id, max(comet_score) AS score FROM s GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY lang, db ORDER BY score DESC, pair_id) AS rank_in_db FROM g), b AS (SELECT lang, db, row_number() OVER (PARTITION BY lang ORDER BY score DESC, pair_id) AS db_rank FROM r WHERE rank_in_db = 1) SELECT r.lang, r.db, pair_id, round(score, 9) AS score, rank_in_db, db_rank FROM r JOIN b ON r.lang = b.lang AND r.db = b.db WHERE rank_in_db <= 2 AND db_rank <= 3",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
