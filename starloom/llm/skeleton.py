@@ -19,6 +19,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,7 +130,7 @@ def without_joiners(text: str) -> str:
     return unicodedata.normalize("NFD", "".join(ch for i, ch in enumerate(text) if ch not in JOINERS or i and text[i - 1] in VIRAMAS))
 
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"(?:\p{L}\p{M}*)+")
 _FOREIGN = {ord(ch): latin for latin, letters in LOOK_ALIKES.items() for ch in letters}
 _ANY_FOREIGN = re.compile("[" + "".join(map(chr, _FOREIGN)) + "]")
 _TWO_PARTS = {two: one for one, two in COMPOSED_VOWELS.items()}
@@ -148,9 +149,9 @@ def clean(text: str | None) -> str | None:
     out = without_joiners(unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(PLAIN)))
     out = _TWO.sub(lambda m: _TWO_PARTS[m[0]], unicodedata.normalize("NFC", out))
     if _ANY_FOREIGN.search(out):
-        words = [(m, {_alphabet(ch) for ch in m[0]}) for m in _WORD.finditer(out)]
+        words = [(m, {_alphabet(ch) for ch in m[0] if ch.isalpha()}) for m in _WORD.finditer(out)]
         # an alphabet is meant where a word of its letters alone holds one that isn't drawn like a Latin one
-        meant = {next(iter(a)) for m, a in words if len(a) == 1 and any(ord(ch) not in _FOREIGN for ch in m[0])}
+        meant = {next(iter(a)) for m, a in words if len(a) == 1 and any(ch.isalpha() and ord(ch) not in _FOREIGN for ch in m[0])}
         pieces, at = [], 0
         for m, alphabets in words:
             if alphabets != {"LATIN"} and (len(alphabets) > 1 or not alphabets & meant):
