@@ -126,18 +126,20 @@ class _Batch:
         at = np.concatenate(blocks)
         which, lane = np.nonzero(self.near[:, text])
         spans = np.c_[np.maximum(self.starts[text], at - LONGEST), np.minimum(self.ends[text], at + BLOCK)][lane]
-        each = np.zeros((len(self.names) + 1, len(self.number)))
-        price = np.r_[UNSEEN, 1 / np.arange(1, LONGEST + 1)]
+        used = np.flatnonzero(self.near.any(axis=1))  # one row for each language whose script occurs at all
+        row = np.searchsorted(used, np.arange(len(self.names)))
+        each = np.full((len(used) + 1, len(self.number)), UNSEEN, dtype=np.float32)
+        price = np.r_[UNSEEN, 1 / np.arange(1, LONGEST + 1)].astype(np.float32)
 
         # a block's first places are walked again by the block before, whose longer matches come later and stay
         def put(which: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> None:
-            each[which, places] = np.minimum(each[which, places], price[lengths])
+            each[row[which], places] = np.minimum(each[row[which], places], price[lengths])
 
-        each[:-1] = UNSEEN
         self.of.walkers.matches(self.number, spans, which, LONGEST, put)
         each[-1] = np.where(self.strange, 0.1, np.where(self.alpha, 1.0, 0.25))
-        upto = np.concatenate([np.zeros((len(each), 1)), np.cumsum(each, axis=1)], axis=1)
-        out = upto[:, self.word_ends] - upto[:, self.word_starts]
+        each = np.concatenate([each, np.zeros((len(each), 1), np.float32)], axis=1)
+        out = np.full((len(self.names) + 1, len(self.word_starts)), np.inf)
+        out[[*used, -1]] = np.add.reduceat(each, np.c_[self.word_starts, self.word_ends].ravel(), axis=1)[:, ::2]
         strange = np.add.reduceat(self.strange, self.starts, dtype=np.int64) > 0
         out[~np.concatenate([self.near, strange[None]])[:, self.word_of]] = np.inf
         return out
