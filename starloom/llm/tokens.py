@@ -2,8 +2,8 @@
 
 Texts are split into pre-tokens, every distinct pre-token of the corpus is encoded once, and ids are joined back by word and put together
 by position. Words with at least `hot_share` of all occurrences, of which there are at most 1 / hot_share, are looked up in a broadcast
-table where the text is read and never shuffled; a text goes on as its runs of ids and the distinct words that are missing between them.
-Those meet the dictionary in a shuffle join. Decoding joins the table of token bytes.
+table and never shuffled; texts go on in blocks, as word numbers, and each block's rare words, once a block, meet the dictionary in a
+shuffle join and then their block. Memory is that of a block, whatever the input. Decoding joins the table of token bytes.
 
 Defined results: null and empty texts have no pre-tokens and get the empty list; texts of any length are taken whole; special tokens'
 strings are ordinary text; rows repeated with the same id and text come out as often as they came in; other columns are not read.
@@ -19,6 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,11 +61,11 @@ class _Numbers(dict):
         return n
 
 
-def _coded(rows: DataFrame, kept: list[str], most_tokens: int = 1 << 20) -> DataFrame:
-    """The one pass over the texts `t`: rows of about `most_tokens` pre-tokens of whole texts each, with the `kept` columns as lists, each text's number of pre-tokens
-    (`_sizes`), the distinct words of the row (`_vocabulary`), how often each occurs (`_n`), and the words' places in it (`_codes`)."""
+def _coded(rows: DataFrame, kept: list[str], most_tokens: int = 1 << 17) -> DataFrame:
+    """The one pass over the texts `t`: blocks of about `most_tokens` pre-tokens of whole texts each, with the `kept` columns as lists, each text's number of pre-tokens
+    (`_sizes`), the distinct words of the block (`_vocabulary`), how often each occurs (`_n`), and the words' places in it (`_codes`, see `_places`)."""
     ints = T.ArrayType(T.IntegerType())
-    added = [("_sizes", ints), ("_vocabulary", T.ArrayType(T.StringType())), ("_n", ints), ("_codes", ints)]
+    added = [("_sizes", ints), ("_vocabulary", T.ArrayType(T.StringType())), ("_n", ints), ("_codes", T.BinaryType())]
     schema = T.StructType([*[T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in kept], *[T.StructField(c, kind) for c, kind in added]])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +80,17 @@ def _coded(rows: DataFrame, kept: list[str], most_tokens: int = 1 << 20) -> Data
                     continue
                 flat = np.concatenate(codes)
                 lists = [batch.column(c).slice(first, i - first) for c in kept]
-                lists += [pa.array(sizes, pa.int32()), pa.array(list(numbers), pa.string()), pa.array(np.bincount(flat, minlength=len(numbers)).astype(np.int32)), pa.array(flat)]
-                yield pa.RecordBatch.from_arrays([_lists(x, [len(x)]) for x in lists], [*kept, *[c for c, _ in added]])
+                lists += [pa.array(sizes, pa.int32()), pa.array(list(numbers), pa.string()), pa.array(np.bincount(flat, minlength=len(numbers)).astype(np.int32))]
+                places = flat.astype("<u2" if len(numbers) <= 1 << 16 else "<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([*[_lists(x, [len(x)]) for x in lists], pa.array([places], pa.binary())], [*kept, *[c for c, _ in added]])
                 numbers, codes, sizes, first, held = _Numbers(), [], [], i, 0
 
-    return written(rows.select(*kept, "t").mapInArrow(code, schema))
+    return written(rows.select(*kept, "t").mapInArrow(code, schema), wide=True)
+
+
+def _places(codes: bytes, words: int) -> np.ndarray:
+    """Two bytes a word where they are enough: the blocks are shuffled."""
+    return np.frombuffer(codes, "<u2" if words <= 1 << 16 else "<u4").astype(np.int64)
 
 
 def dictionary(counts: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
@@ -102,72 +109,80 @@ def dictionary(counts: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     return counts.mapInArrow(encode, schema)
 
 
-def _looked_up(df: DataFrame, keep: list[str], text_col: str, folder: str, hot_share: float, with_ids: bool) -> tuple[DataFrame, DataFrame]:
-    """Each row of `df` with a key of its own (`_key`), the `keep` columns as `_k0`.., `_hot` (ids found at once), and of the rare words the distinct
-    ones (`_words`), how often each occurs (`_times`), and, with ids, the runs of ids around them (`_runs`) and which word follows each run (`_next`). And the dictionary of rare words."""
-    spark = df.sparkSession
+def _blocks(df: DataFrame, keep: list[str], text_col: str, folder: str, hot_share: float) -> tuple[DataFrame, DataFrame, float]:
+    """The blocks of `df`'s texts with a key of each row (`_key`) and the `keep` columns as `_k0`.., the dictionary of all words, and how often a frequent word occurs at least."""
     kept = ["_key", *[f"_k{i}" for i in range(len(keep))]]
     rows = in_parts(df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))).withColumn("_key", F.monotonically_increasing_id())
     coded = _coded(rows, kept)
     counts = coded.select(F.explode(F.arrays_zip("_vocabulary", "_n")).alias("w")).groupBy(F.col("w._vocabulary").alias("word")).agg(F.sum("w._n").alias("n"))
     words = written(dictionary(counts, folder))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    least = max(1.0, hot_share * total)
-    hot = spark.sparkContext.broadcast({r.word: tuple(r.ids) for r in words.filter(F.col("n") >= least).select("word", "ids").collect()})  # 1 / hot_share words at most
-    ints, texts = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
-    added = [("_hot", T.LongType()), ("_words", texts), ("_times", ints), *([("_runs", T.ArrayType(ints)), ("_next", ints)] if with_ids else [])]
-    schema = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(c, kind) for c, kind in added]])
+    return coded, words, max(1.0, hot_share * (words.agg(F.sum("n")).first()[0] or 0))
+
+
+def _hot(words: DataFrame, least: float) -> Broadcast:
+    """The frequent words' ids; there are 1 / hot_share words at most."""
+    return words.sparkSession.sparkContext.broadcast({r.word: tuple(r.ids) for r in words.filter(F.col("n") >= least).select("word", "ids").collect()})
+
+
+def encode(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, hot_share: float = 1e-5) -> DataFrame:
+    """(`id_col`, `ids`) for every row of `df`. A block of texts meets the ids of its rare words, and is put together, one at a time."""
+    coded, words, least = _blocks(df, [id_col], text_col, folder, hot_share)
+    hot, block = _hot(words, least), F.get("_key", F.lit(0)).alias("_block")
+    frequent = F.broadcast(words.filter(F.col("n") >= least).select("word"))  # as many as in _hot
+    rare = coded.select(block, F.explode("_vocabulary").alias("word")).join(frequent, "word", "left_anti")
+    found = rare.join(words.filter(F.col("n") < least).select("word", "ids"), "word").select("_block", "word", "ids")
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def put_together(texts: pa.Table, own: pa.Table) -> pa.Table:
+        known = dict(zip(own.column("word").to_pylist(), own.column("ids").to_pylist()))
+        one = {c: texts.column(c).combine_chunks() for c in texts.column_names}
+        vocabulary = one["_vocabulary"].flatten().to_pylist()
+        each = [known[w] if x is None else x for w, x in ((w, hot.value.get(w)) for w in vocabulary)]
+        length = np.fromiter(map(len, each), np.int64, len(each))
+        ids = np.fromiter(chain.from_iterable(each), np.int32, int(length.sum()))
+        codes, sizes = _places(one["_codes"][0].as_py(), len(vocabulary)), one["_sizes"].flatten().to_numpy().astype(np.int64)
+        many = length[codes]
+        flat = ids[np.repeat((np.cumsum(length) - length)[codes] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        ends = np.r_[0, np.cumsum(many)][np.r_[0, np.cumsum(sizes)]]
+        return pa.Table.from_arrays([one["_k0"].flatten(), _lists(pa.array(flat), np.diff(ends))], [id_col, "ids"])
+
+    texts = coded.select(block, "_k0", "_sizes", "_vocabulary", "_codes")
+    return texts.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(put_together, schema)
+
+
+def _rare_words(coded: DataFrame, hot: Broadcast, kept: list[str]) -> DataFrame:
+    """Each text with its `kept` columns, `_hot` (ids found at once), and of the rare words the distinct ones (`_words`) and how often each occurs (`_times`)."""
+    added = [("_hot", T.LongType()), ("_words", T.ArrayType(T.StringType())), ("_times", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*[T.StructField(c, coded.schema[c].dataType.elementType) for c in kept], *[T.StructField(c, kind) for c, kind in added]])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                one = {c: batch.column(c).slice(r, 1).flatten() for c in batch.schema.names}
-                texts_, sizes, codes = len(one["_key"]), one["_sizes"].to_numpy().astype(np.int64), one["_codes"].to_numpy()
+                one = {c: batch.column(c).slice(r, 1).flatten() for c in [*kept, "_sizes", "_vocabulary"]}
                 known = [hot.value.get(w) for w in one["_vocabulary"].to_pylist()]
+                texts, sizes, codes = len(one["_key"]), one["_sizes"].to_numpy().astype(np.int64), _places(batch.column("_codes")[r].as_py(), len(known))
                 rare = np.array([x is None for x in known], bool)
-                length = np.array([1 if x is None else len(x) for x in known], np.int64)
-                ids = np.fromiter(chain.from_iterable((-1,) if x is None else x for x in known), np.int32, int(length.sum()))
+                length = np.array([0 if x is None else len(x) for x in known], np.int64)
                 # of each text the rare words' places, and each distinct one of them once
-                text = np.repeat(np.arange(texts_), sizes)
+                text = np.repeat(np.arange(texts), sizes)
                 at = np.flatnonzero(rare[codes]) if len(codes) else np.empty(0, np.int64)
-                pairs, which, times = np.unique(text[at] * len(known) + codes[at], return_inverse=True, return_counts=True)
-                owner = pairs // max(1, len(known))
-                n = np.bincount(owner, minlength=texts_)
-                gaps = np.bincount(text[at], minlength=texts_)
-                many = np.add.reduceat(np.r_[length[codes], 0], np.minimum(np.cumsum(sizes) - sizes, len(codes))) * (sizes > 0) if texts_ else np.empty(0, np.int64)
-                out = [one[c] for c in kept] + [pa.array(many - gaps), _lists(one["_vocabulary"].take(pa.array(pairs % max(1, len(known)))), n), _lists(pa.array(times.astype(np.int32)), n)]
-                if with_ids:
-                    each = length[codes]
-                    flat = ids[np.repeat((np.cumsum(length) - length)[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
-                    # a run ends before each -1 and at the end of each text; it holds the ids since the last end
-                    marks = np.flatnonzero(flat < 0)
-                    stops = np.sort(np.r_[marks, np.cumsum(many)], kind="stable")
-                    before = np.searchsorted(marks, stops)  # marks before a stop, which are no ids
-                    runs = _lists(pa.array(flat[flat >= 0]), np.diff(np.r_[0, stops - before]))
-                    place = which.ravel() - (np.cumsum(n) - n)[text[at]]
-                    out += [_lists(runs, gaps + 1), _lists(pa.array(place.astype(np.int32)), gaps)]
+                pairs, times = np.unique(text[at] * len(known) + codes[at], return_counts=True)
+                n = np.bincount(pairs // max(1, len(known)), minlength=texts)
+                many = np.diff(np.r_[0, np.cumsum(length[codes])][np.r_[0, np.cumsum(sizes)]])
+                words = _lists(one["_vocabulary"].take(pa.array(pairs % max(1, len(known)))), n)
+                out = [*[one[c] for c in kept], pa.array(many), words, _lists(pa.array(times.astype(np.int32)), n)]
                 yield pa.RecordBatch.from_arrays(out, [*kept, *[c for c, _ in added]])
 
-    return written(coded.mapInArrow(look_up, schema)), words.filter(F.col("n") < least).select("word", "ids")
-
-
-def encode(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, hot_share: float = 1e-5) -> DataFrame:
-    """(`id_col`, `ids`) for every row of `df`."""
-    rows, cold = _looked_up(df, [id_col], text_col, folder, hot_share, True)
-    whole = rows.filter(F.size("_words") == 0).select(F.col("_k0").alias(id_col), F.flatten("_runs").alias("ids"))
-    some = rows.filter(F.size("_words") > 0)
-    placed = some.select("_key", F.posexplode("_words").alias("_at", "word")).join(cold, "word")
-    found = placed.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_found"))
-    joined = some.join(found, "_key").withColumn("_found", F.transform("_found", lambda x: x["ids"]))
-    parts = F.zip_with("_runs", "_next", lambda run, at: F.when(at.isNull(), run).otherwise(F.concat(run, F.get(F.col("_found"), at))))
-    return whole.unionByName(joined.select(F.col("_k0").alias(id_col), F.flatten(parts).alias("ids")))
+    return written(coded.mapInArrow(look_up, schema))
 
 
 def token_counts(df: DataFrame, keep: list[str], text_col: str, folder: str = TOKENIZERS, hot_share: float = 1e-5) -> DataFrame:
     """The `keep` columns and `tokens` of every row; null and empty texts have 0. Sums are combined before the shuffle."""
-    rows, cold = _looked_up(df, keep, text_col, folder, hot_share, False)
+    coded, words, least = _blocks(df, keep, text_col, folder, hot_share)
+    rows = _rare_words(coded, _hot(words, least), ["_key", *[f"_k{i}" for i in range(len(keep))]])
+    cold = words.filter(F.col("n") < least).select("word", F.size("ids").alias("size"))
     rare = rows.select("_key", F.explode(F.arrays_zip("_words", "_times")).alias("w")).select("_key", F.col("w._words").alias("word"), F.col("w._times").alias("times"))
-    sums = rare.join(cold.select("word", F.size("ids").alias("size")), "word").groupBy("_key").agg(F.sum(F.col("times") * F.col("size")).alias("_cold"))
+    sums = rare.join(cold, "word").groupBy("_key").agg(F.sum(F.col("times") * F.col("size")).alias("_cold"))
     tokens = F.col("_hot") + F.coalesce("_cold", F.lit(0))
     return rows.drop("_words", "_times").join(sums, "_key", "left").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], tokens.alias("tokens"))
 

@@ -3,13 +3,17 @@
 import math
 import random
 from collections import Counter
+from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from starloom import lineage
 from starloom.llm import cutoffs, mixing, quantiles, tokens
 
 
@@ -91,6 +95,18 @@ def test_encoding_round_trip(spark, hot):
     assert tokens.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_blocks_of_many_texts_are_read_one_at_a_time(spark):
+    """Sixty texts of 60,000 words in one task: neither a row nor a row group nor a batch for Python may grow with them."""
+    texts = spark.range(60, numPartitions=1).selectExpr("id as _key", "array_join(transform(sequence(1, 60000), x -> string(pmod(xxhash64(x, id), 50000))), ' ') as t")
+    coded = tokens._coded(texts, ["_key"])
+    assert coded.select(F.sum(F.size("_key"))).first()[0] == 60 and coded.select(F.max(F.size("_key"))).first()[0] <= 3  # rows end after the text that fills them
+    groups = [file.metadata.row_group(i) for file in map(pq.ParquetFile, (unquote(urlparse(f).path) for f in coded.inputFiles())) for i in range(file.metadata.num_row_groups)]
+    assert max(g.total_byte_size for g in groups) <= 2 * lineage.WIDE_BYTES
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    assert lineage.written(coded.mapInArrow(sizes, "n long")).agg(F.max("n")).first()[0] <= 2 * lineage.WIDE_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b"
+
+
 def spread(node, budget):
     """Gives `budget` to a node {weight, room, children} and down its tree, round by round: what a child cannot use goes to its siblings."""
     node["budget"] = left = min(budget, node["room"])
