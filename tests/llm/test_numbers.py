@@ -107,6 +107,18 @@ def test_blocks_of_many_texts_are_read_one_at_a_time(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b"
 
 
+def test_token_counts_of_many_texts_are_worked_out_block_by_block(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(tokens, "written", lambda *a, **k: kept.append(lineage.written(*a, **k)) or kept[-1])
+    texts = spark.range(40, numPartitions=1).coalesce(1).selectExpr("id as doc_id", "array_join(transform(sequence(1, 60000), x -> string(pmod(xxhash64(x, id), 50000))), ' ') as text")
+    monkeypatch.setattr(tokens, "in_parts", lambda df: df)
+    got = {r.doc_id: r.tokens for r in tokens.token_counts(texts, ["doc_id"], "text").collect()}
+    some = texts.filter("doc_id in (0, 39)").collect()
+    assert len(got) == 40 and [got[r.doc_id] for r in some] == list(map(len, reference_ids([r.text for r in some])))
+    files = [pq.ParquetFile(unquote(urlparse(f).path)).metadata for f in kept[0].inputFiles()]
+    assert max(file.row_group(i).total_byte_size for file in files for i in range(file.num_row_groups)) <= lineage.WIDE_BYTES * 2 and max(file.num_rows for file in files) >= 10
+
+
 def spread(node, budget):
     """Gives `budget` to a node {weight, room, children} and down its tree, round by round: what a child cannot use goes to its siblings."""
     node["budget"] = left = min(budget, node["room"])
