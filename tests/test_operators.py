@@ -213,3 +213,28 @@ def test_registered_queries_match_duckdb(spark, data, name):
     assert sorted(names) == sorted(got.columns)
     norm = lambda v: round(float(v), 6) if isinstance(v, (int, float)) else str(v)
     assert sorted((tuple(map(norm, r)) for r in got.select(*names).collect()), key=str) == sorted((tuple(map(norm, r)) for r in cursor.fetchall()), key=str)
+
+
+def test_examples_score_few_pairs_and_lose_none(spark, monkeypatch):
+    """Texts of shared words in all degrees of likeness: the answers are those of all pairs, and few pairs are scored."""
+    rng, scored, of = random.Random(3), [], retrieval.top_k
+    monkeypatch.setattr(retrieval, "top_k", lambda pairs, *a: scored.append(pairs.count()) or of(pairs, *a))
+    rows = []
+    for i in range(600):
+        words = [f"all{x}" for x in range(8)] + [f"g{i // 6}x{x}" for x in range(12)] + [f"w{rng.randrange(200)}" for _ in range(rng.randrange(1, 6))]
+        rng.shuffle(words)
+        rows.append((i, None if i % 97 == 0 else f"d{rng.randrange(4)}", " ".join(words[: rng.choice([3, 18, 25])])))
+    rows += [(700, "d1", ""), (701, "d2", None), (702, "d9", "ALL1 own"), (703, "d9", "only here")]
+    pool = spark.createDataFrame(rows, "id long, db string, q string")
+    target = spark.createDataFrame([r for r in rows if r[0] % 5 == 0 or r[0] > 699] + [(900, "d1", "all1 of no number"), (901, "d1", "nothing known")], "id long, db string, q string")
+    got = sorted((r.target_id, r.id, r.rank, r.score) for r in retrieval.examples(target, pool, "db", "q", "id", 3).collect())
+    sets, expected = {r.id: (r.db, set((r.q or "").lower().split())) for r in pool.collect() + target.collect()}, []
+    for t in target.collect():
+        (d, a), found = sets[t.id], []
+        for i, *_ in rows:
+            e, b = sets[i]
+            if d and e and d != e and a & b:
+                found.append((-round(len(a & b) / len(a | b), 9), i))
+        expected += [(t.id, i, n, -s) for n, (s, i) in enumerate(sorted(found)[:3], 1)]
+    assert got == sorted(expected)
+    assert sum(scored[:-1]) < 20_000 and len(scored) == 5
