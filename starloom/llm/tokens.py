@@ -151,8 +151,9 @@ def encode(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS,
 
 
 def _rare_words(coded: DataFrame, hot: Broadcast, kept: list[str]) -> DataFrame:
-    """Each text with its `kept` columns, `_hot` (ids found at once), and of the rare words the distinct ones (`_words`) and how often each occurs (`_times`)."""
-    added = [("_hot", T.LongType()), ("_words", T.ArrayType(T.StringType())), ("_times", T.ArrayType(T.IntegerType()))]
+    """A row for each text with its `kept` columns and `_hot` (ids found at once), and one for each of its distinct rare words with its key, the `word` and how often it occurs
+    (`_times`). A text's words are rows, not a list: readers take thousands of rows at once, and long texts have many rare words."""
+    added = [("_hot", T.LongType()), ("word", T.StringType()), ("_times", T.IntegerType())]
     schema = T.StructType([*[T.StructField(c, coded.schema[c].dataType.elementType) for c in kept], *[T.StructField(c, kind) for c, kind in added]])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +168,12 @@ def _rare_words(coded: DataFrame, hot: Broadcast, kept: list[str]) -> DataFrame:
                 text = np.repeat(np.arange(texts), sizes)
                 at = np.flatnonzero(rare[codes]) if len(codes) else np.empty(0, np.int64)
                 pairs, times = np.unique(text[at] * len(known) + codes[at], return_counts=True)
-                n = np.bincount(pairs // max(1, len(known)), minlength=texts)
                 many = np.diff(np.r_[0, np.cumsum(length[codes])][np.r_[0, np.cumsum(sizes)]])
-                words = _lists(one["_vocabulary"].take(pa.array(pairs % max(1, len(known)))), n)
-                out = [*[one[c] for c in kept], pa.array(many), words, _lists(pa.array(times.astype(np.int32)), n)]
-                yield pa.RecordBatch.from_arrays(out, [*kept, *[c for c, _ in added]])
+                owner, place = np.divmod(pairs, max(1, len(known)))
+                names = [*kept, *[c for c, _ in added]]
+                yield pa.RecordBatch.from_arrays([*[one[c] for c in kept], pa.array(many), pa.nulls(texts, pa.string()), pa.nulls(texts, pa.int32())], names)
+                of_words = {"_key": one["_key"].take(pa.array(owner)), "word": one["_vocabulary"].take(pa.array(place)), "_times": pa.array(times.astype(np.int32))}
+                yield pa.RecordBatch.from_arrays([of_words.get(c, pa.nulls(len(pairs), one[c].type if c in one else pa.int64())) for c in names], names)
 
     return written(coded.mapInArrow(look_up, schema))
 
@@ -181,10 +183,10 @@ def token_counts(df: DataFrame, keep: list[str], text_col: str, folder: str = TO
     coded, words, least = _blocks(df, keep, text_col, folder, hot_share)
     rows = _rare_words(coded, _hot(words, least), ["_key", *[f"_k{i}" for i in range(len(keep))]])
     cold = words.filter(F.col("n") < least).select("word", F.size("ids").alias("size"))
-    rare = rows.select("_key", F.explode(F.arrays_zip("_words", "_times")).alias("w")).select("_key", F.col("w._words").alias("word"), F.col("w._times").alias("times"))
-    sums = rare.join(cold, "word").groupBy("_key").agg(F.sum(F.col("times") * F.col("size")).alias("_cold"))
+    rare = rows.filter(F.col("word").isNotNull()).select("_key", "word", "_times")
+    sums = rare.join(cold, "word").groupBy("_key").agg(F.sum(F.col("_times") * F.col("size")).alias("_cold"))
     tokens = F.col("_hot") + F.coalesce("_cold", F.lit(0))
-    return rows.drop("_words", "_times").join(sums, "_key", "left").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], tokens.alias("tokens"))
+    return rows.filter(F.col("word").isNull()).drop("word", "_times").join(sums, "_key", "left").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], tokens.alias("tokens"))
 
 
 def token_bytes(spark: SparkSession, folder: str = TOKENIZERS) -> DataFrame:

@@ -119,6 +119,20 @@ def test_token_counts_of_many_texts_are_worked_out_block_by_block(spark, monkeyp
     assert max(file.row_group(i).total_byte_size for file in files for i in range(file.num_row_groups)) <= lineage.WIDE_BYTES * 2 and max(file.num_rows for file in files) >= 10
 
 
+def test_token_counts_keep_rows_small_whatever_a_text_has_of_rare_words(spark, monkeypatch):
+    """Twelve texts of 20,000 words that no other one has: only the blocks, which have bounded row groups, may have wide rows."""
+    kept = []
+    monkeypatch.setattr(tokens, "written", lambda df, wide=False: kept.append((lineage.written(df, wide), wide)) or kept[-1][0])
+    long = spark.range(12).selectExpr("id as doc_id", "array_join(transform(sequence(1, 20000), x -> string(100000 * (id + 1) + x)), ' ') as text")
+    texts = long.union(spark.createDataFrame([(12, None), (13, ""), (14, "some some word")], "doc_id long, text string"))
+    got = {r.doc_id: r.tokens for r in tokens.token_counts(texts, ["doc_id"], "text").collect()}
+    some = texts.collect()
+    assert len(got) == 15 and [got[r.doc_id] for r in some] == list(map(len, reference_ids([r.text or "" for r in some])))
+    for df in (df for df, wide in kept if not wide):
+        groups = [file.metadata.row_group(i) for file in map(pq.ParquetFile, (unquote(urlparse(f).path) for f in df.inputFiles())) for i in range(file.metadata.num_row_groups)]
+        assert max(g.total_byte_size / g.num_rows for g in groups) < 10_000
+
+
 def spread(node, budget):
     """Gives `budget` to a node {weight, room, children} and down its tree, round by round: what a child cannot use goes to its siblings."""
     node["budget"] = left = min(budget, node["room"])
